@@ -1 +1,8 @@
 """Clustering analysis of large tables on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to tasks travel whole, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,58 +2,214 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark import StorageLevel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.functions.arrays import lists, matrix, nearest
+from shoal.functions.arrays import distances, lists, matrix, nearest
 from shoal.functions.columns import col
+from shoal.session import spread
 
 
 @dataclass(frozen=True)
 class KMeansFit:
-    """Centres in lexicographic order; ``label`` of :meth:`assign` counts along that order."""
+    """Centres in lexicographic order, and the sum of squared distances to them."""
 
-    model: KMeansModel
-    order: list[int]
+    centres: np.ndarray
     inertia: float
 
-    @property
-    def centres(self) -> np.ndarray:
-        return np.array(self.model.clusterCenters())[self.order]
-
     def assign(self, df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
         """Add the number of the nearest centre to every row; nothing is moved."""
-        rank = [0] * len(self.order)
-        for new, old in enumerate(self.order):
-            rank[old] = new
-        names = F.array(*[F.lit(r) for r in rank])
-        columns = df.columns
-        return (self.model.setFeaturesCol("__vector").setPredictionCol("__nearest")
-                .transform(df.withColumn("__vector", array_to_vector(col(features))))
-                .select(*[col(c) for c in columns], F.get(names, F.col("__nearest")).alias(label)))
+        return assign_nearest(df, [self.centres], [label], features)
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
-           features: str = "features", n_rows: int | None = None) -> KMeansFit:
-    """Fit ``k`` clusters of Euclidean distance with a parallel k-means++ start."""
-    n = df.count() if n_rows is None else n_rows
+           features: str = "features") -> KMeansFit:
+    """Fit ``k`` clusters of Euclidean distance with a parallel k-means++ start.
+
+    The fit stops when the squared movement of all centres falls below ``tol`` times the mean
+    variance of the features.
+    """
+    data = df.select(array_to_vector(col(features)).alias("features"))
+    stats = data.agg(Summarizer.metrics("count", "variance").summary(F.col("features")).alias("s")
+                     ).select("s.*").first()
+    n = int(stats["count"] or 0)
     if not 1 <= k <= n:
         raise ValueError(f"k = {k} clusters for {n} rows")
-    data = df.select(array_to_vector(col(features)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(data)
-    centres = [tuple(c) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    return KMeansFit(model, order, model.summary.trainingCost)
+    variance = float(stats["variance"].toArray().mean())
+    # the built-in limit is on the way of each single centre
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=math.sqrt(tol * variance / k)).fit(spread(data, n))
+    centres = np.array(sorted(tuple(c) for c in model.clusterCenters()))
+    return KMeansFit(centres, model.summary.trainingCost)
+
+
+# -- many fits at once ----------------------------------------------------------------------
+
+def kmeans_many(df: DataFrame, ks: Sequence[int], seeds: Sequence[int], key: str = "row_id",
+                features: str = "features", max_iter: int = 300,
+                tol: float = 1e-4) -> dict[tuple[int, int], KMeansFit]:
+    """Fit every ``k`` with every seed; the result is keyed by ``(seed, k)``.
+
+    All fits share each scan of the table: a pass assigns the rows under every model still
+    moving and returns one sum per task and cluster. A sweep of 9 values of K and 10 seeds
+    then costs as many scans as its slowest fit, not the sum over 90 fits. Starts are greedy
+    k-means++, one pass per centre for all seeds; the draws hash the row key, so they do not
+    depend on how the table is partitioned.
+    """
+    ks = sorted(set(ks))
+    data = df.select(col(key).cast("long").alias("id"), col(features).cast("array<double>").alias("features"))
+    stats = data.agg(Summarizer.metrics("count", "mean", "variance").summary(
+        array_to_vector("features")).alias("s")).select("s.*").first()
+    n = int(stats["count"] or 0)
+    if not ks or ks[0] < 1 or ks[-1] > n:
+        raise ValueError(f"K from {ks} for {n} rows")
+    middle = stats["mean"].toArray()
+    limit = tol * float(stats["variance"].toArray().mean())
+    data = spread(data, n).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        starts = _starts(data, ks[-1], list(seeds), middle)
+        centres = {(seed, k): starts[seed][:k] for seed in seeds for k in ks}
+        moving = list(centres)
+        for _ in range(max_iter):
+            sums = _cluster_sums(data, [centres[m] for m in moving], middle)
+            still = []
+            for m, (size, total, _) in zip(moving, sums):
+                new = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres[m])
+                if ((new - centres[m]) ** 2).sum() > limit:
+                    still.append(m)
+                centres[m] = new
+            moving = still
+            if not moving:
+                break
+        costs = [cost for _, _, cost in _cluster_sums(data, list(centres.values()), middle)]
+        return {m: KMeansFit(np.array(sorted(tuple(c) for c in centres[m] + middle)), cost)
+                for m, cost in zip(centres, costs)}
+    finally:
+        data.unpersist()
+
+
+def _uniform(ids: np.ndarray, seed: int, step: int, draw: int) -> np.ndarray:
+    """A number in (0, 1) per row and draw, from mixing the bits of the key (splitmix64)."""
+    salt = ((seed * 1_000_003 + step) * 1_000_003 + draw) * 0x9E3779B97F4A7C15 % 2 ** 64
+    with np.errstate(over="ignore"):
+        z = ids.astype(np.uint64) + np.uint64(salt)
+        for _ in range(2):
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
 
+def _starts(data: DataFrame, k: int, seeds: list[int], middle: np.ndarray) -> dict[int, np.ndarray]:
+    """Greedy k-means++: of a few candidates drawn in proportion to the squared distance, keep
+    the one that lowers the total most. The candidates after each possible choice are drawn in
+    the pass that compares them, so that a centre costs one pass."""
+    draws = 2 + int(math.log(k))
+    chosen = {s: np.empty((0, len(middle))) for s in seeds}
+    offered: dict[int, np.ndarray] = {}
+    for step in range(k):
+        before, options = dict(chosen), dict(offered)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int, int], tuple[float, np.ndarray]] = {}
+            total: dict[tuple[int, int], float] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1)) - middle
+                for s in seeds:
+                    near = distances(x, before[s]).min(1) ** 2 if len(before[s]) else None
+                    for j, option in enumerate(options[s] if step else [None]):
+                        d = None
+                        if option is not None:
+                            d = ((x - option) ** 2).sum(1)
+                            d = d if near is None else np.minimum(d, near)
+                            total[s, j] = total.get((s, j), 0.0) + float(d.sum())
+                        for draw in range(draws if step else 1):
+                            u = -np.log(_uniform(ids, s, step, draw))
+                            if d is not None:
+                                u = np.divide(u, d, out=np.full(len(u), np.inf), where=d > 0)
+                            i = int(np.argmin(u))
+                            if (s, j, draw) not in best or u[i] < best[s, j, draw][0]:
+                                best[s, j, draw] = (float(u[i]), x[i])
+            if best:
+                keys = list(best)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c[i] for c in keys], pa.int64()) for i in range(3)]
+                    + [pa.array([best[c][0] for c in keys], pa.float64()),
+                       pa.array([total.get(c[:2], 0.0) for c in keys], pa.float64()),
+                       lists(np.array([best[c][1] for c in keys]))],
+                    names=["seed", "option", "draw", "rank", "total", "point"])
+
+        found = (data.mapInArrow(partial, "seed bigint, option bigint, draw bigint, rank double, "
+                                          "total double, point array<double>")
+                 .groupBy("seed", "option", "draw")
+                 .agg(F.min("rank").alias("rank"), F.sum("total").alias("total"),
+                      F.min_by("point", "rank").alias("point")).collect())
+        for s in seeds:
+            mine = sorted((r for r in found if r["seed"] == s), key=lambda r: (r["option"], r["draw"]))
+            if step:
+                pick = min(mine, key=lambda r: (r["total"], r["option"]))["option"]
+                chosen[s] = np.vstack([chosen[s], options[s][pick]])
+                mine = [r for r in mine if r["option"] == pick and np.isfinite(r["rank"])]
+            # no finite draw: every row already is a centre
+            offered[s] = np.array([r["point"] for r in mine]) if mine else chosen[s][-1:]
+    # the last pass only drew; its candidates have not been compared
+    return {s: _distinct(np.vstack([chosen[s], offered[s][:1]])) for s in seeds}
+
+
+def _distinct(centres: np.ndarray) -> np.ndarray:
+    _, first = np.unique(centres, axis=0, return_index=True)
+    return centres[np.sort(first)]
+
+
+def _cluster_sums(data: DataFrame, models: list[np.ndarray],
+                  middle: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Size and sum of every cluster, and the cost, of every model, from one scan."""
+    stacked = np.vstack(models)
+    starts = np.concatenate([[0], np.cumsum([len(m) for m in models])])
+    half = np.einsum("ij,ij->i", stacked, stacked) / 2
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total, cost = np.zeros(len(stacked)), np.zeros_like(stacked), np.zeros(len(stacked))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(1)) - middle
+            score = half[None, :] - x @ stacked.T
+            hot = np.zeros_like(score)
+            at = np.arange(len(x))
+            for a, b in zip(starts[:-1], starts[1:]):
+                label = a + score[:, a:b].argmin(1)
+                hot[at, label] = 1.0
+                gap = x - stacked[label]
+                cost[a] += np.einsum("ij,ij->", gap, gap)
+            size += hot.sum(0)
+            total += hot.T @ x
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(stacked)), pa.int32()), pa.array(size), lists(total), pa.array(cost)],
+            names=["cluster", "n", "total", "cost"])
+
+    total = Summarizer.metrics("sum").summary(array_to_vector("total"))
+    found = (data.mapInArrow(partial, "cluster int, n double, total array<double>, cost double")
+             .groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+                                     vector_to_array(total["sum"]).alias("total")).collect())
+    found.sort(key=lambda r: r["cluster"])
+    sizes, sums = np.array([r["n"] for r in found]), np.array([r["total"] for r in found])
+    costs = np.array([r["cost"] for r in found])
+    return [(sizes[a:b], sums[a:b], float(costs[a:b].sum())) for a, b in zip(starts[:-1], starts[1:])]
+
+
+# -- given centres ------------------------------------------------------------------------------
 
 def lloyd(df: DataFrame, centres: Sequence[Sequence[float]], steps: int,
           features: str = "features") -> np.ndarray:
@@ -89,14 +245,22 @@ def lloyd(df: DataFrame, centres: Sequence[Sequence[float]], steps: int,
     return current
 
 
-def assign_nearest(df: DataFrame, centres: np.ndarray, label: str = "label",
+def assign_nearest(df: DataFrame, models: Sequence[np.ndarray], labels: Sequence[str],
                    features: str = "features") -> DataFrame:
-    """Add the index of the nearest of the given centres to every row."""
-    @F.pandas_udf("int")
-    def closest(x: pd.Series) -> pd.Series:
-        return pd.Series(nearest(np.stack(x.to_numpy()).astype(float), centres).astype(np.int32))
+    """Add a label column per model: the index of the nearest of its centres, in one pass."""
+    models = [np.asarray(m) for m in models]
+
+    @F.arrow_udf("array<int>")
+    def closest(x: pa.Array) -> pa.Array:
+        points = matrix(x)
+        if not len(points):
+            return pa.array([], pa.list_(pa.int32()))
+        return lists(np.column_stack([nearest(points, m) for m in models]).astype(np.int32))
 
-    return df.withColumn(label, closest(col(features).cast("array<double>")))
+    columns = df.columns
+    found = df.withColumn("__labels", closest(col(features).cast("array<double>")))
+    return found.select(*[col(c) for c in columns],
+                        *[F.col("__labels")[i].alias(name) for i, name in enumerate(labels)])
 
 
 def compress(df: DataFrame, size: int, by: Sequence[str] = (), seed: int = 42,

@@ -159,7 +159,7 @@ def kmeans_lloyd(spark, sf_dir):
     centres = lloyd(rows, start, 4)
     table_ = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)],
                                    "label int, centre array<double>")
-    labelled = assign_nearest(rows.select("features"), centres).join(F.broadcast(table_), "label")
+    labelled = assign_nearest(rows.select("features"), [centres], ["label"]).join(F.broadcast(table_), "label")
     gap = F.aggregate(F.zip_with("features", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                       lambda s, v: s + v)
     return round_columns(labelled.groupBy("label").agg(

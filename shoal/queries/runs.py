@@ -1 +1,80 @@
-"""placeholder"""
+"""Agglomerative clustering, K sweeps and whole runs over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoal.operators.agglomerative import agglomerative
+from shoal.plans.analyze_k import analyze_k, k_sweep
+from shoal.plans.batch import analyze_folder
+from shoal.plans.preprocess import preprocess
+from shoal.plans.report import Settings, analyze
+from shoal.plans.train import run_clustering
+from shoal.queries.clustering import embedded
+from shoal.queries.registry import query, round_columns, rounded, table
+from shoal.session import scratch_path
+
+# -- agglomerative: 25 nations described by their customers, and the embeddings -----------------
+
+
+def nations(spark, sf_dir):
+    """One vector per nation: mean and deviation of balances, and customers, of all customers."""
+    per = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("row_id")).agg(
+        F.avg("c_acctbal").alias("a"), F.stddev_samp("c_acctbal").alias("s"), F.count(F.lit(1)).alias("n"))
+    return per.select("row_id", F.array(F.col("a") / 100, F.col("s") / 100, F.col("n").cast("double")).alias("features"))
+
+
+_NATIONS_SQL = """SELECT c_nationkey::BIGINT AS id, [avg(c_acctbal) / 100, stddev_samp(c_acctbal) / 100,
+  count(*)::DOUBLE] AS f FROM customer GROUP BY c_nationkey"""
+
+_EMBEDDED_SQL = "SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings"
+
+
+def greedy_sql(source: str, linkage: str, k: int) -> str:
+    """Greedy agglomeration down to ``k`` clusters: one merge of the closest pair per iteration.
+
+    The recursion carries the pair linkages, updated by the recurrence of the linkage, and the
+    label of every point. Ends with ``final (id, c)`` and ``merge (step, height)``.
+    """
+    joined = {"single": "min(e.h)", "complete": "max(e.h)",
+              "average": "sum(e.h * e.ni) / sum(e.ni)",
+              "ward": ("sqrt(greatest(0, (sum((e.ni + e.nj) * e.h * e.h) - any_value(e.nj) * any_value(m.h) * any_value(m.h))"
+                       " / (any_value(m.ni + m.nj) + any_value(e.nj))))")}[linkage]
+    return f"""p AS MATERIALIZED ({source}),
+n AS (SELECT count(*) AS n FROM p),
+tree(step, kind, i, j, h, ni, nj) AS (
+  SELECT 0, 'pair', a.id, b.id, list_distance(a.f, b.f), 1.0::DOUBLE, 1.0::DOUBLE FROM p a JOIN p b ON a.id <> b.id
+  UNION ALL SELECT 0, 'label', id, id, 0.0, 1.0, 1.0 FROM p
+  UNION ALL (
+    WITH t AS MATERIALIZED (SELECT * FROM tree WHERE kind <> 'merge'),
+    m AS MATERIALIZED (SELECT i, j, h, ni, nj FROM t WHERE kind = 'pair' AND i < j ORDER BY h, i, j LIMIT 1),
+    e AS (SELECT CASE WHEN t.i = m.j THEN m.i ELSE t.i END AS i, CASE WHEN t.j = m.j THEN m.i ELSE t.j END AS j,
+      t.h, t.ni, t.nj, t.i IN (m.i, m.j) AS li, t.j IN (m.i, m.j) AS lj
+      FROM t, m WHERE kind = 'pair' AND NOT (t.i IN (m.i, m.j) AND t.j IN (m.i, m.j))),
+    half AS (SELECT e.i, e.j, {joined} AS h, any_value(m.ni + m.nj) AS ni, any_value(e.nj) AS nj
+      FROM e, m WHERE li GROUP BY e.i, e.j),
+    step AS (SELECT max(step) + 1 AS s FROM t)
+    SELECT s, 'pair', i, j, h, ni, nj FROM e, step WHERE NOT li AND NOT lj
+    UNION ALL SELECT s, 'pair', i, j, h, ni, nj FROM half, step
+    UNION ALL SELECT s, 'pair', j, i, h, nj, ni FROM half, step
+    UNION ALL SELECT s, 'label', t.i, CASE WHEN t.j = m.j THEN m.i ELSE t.j END, 0.0, 1.0, 1.0 FROM t, m, step WHERE kind = 'label'
+    UNION ALL SELECT s, 'merge', m.i, m.j, m.h, m.ni, m.nj FROM m, step, n WHERE s <= n.n - {k}
+  )),
+final AS (SELECT i AS id, j AS c FROM tree, n WHERE kind = 'label' AND step = n.n - {k}),
+merge AS (SELECT step, h AS height FROM tree WHERE kind = 'merge')"""
+
+
+def _hac(spark, sf_dir, linkage):
+    """Cluster and size of every nation cut at four, and the height of the last merge below the cut."""
+    tree = agglomerative(nations(spark, sf_dir), linkage)
+    return tree.cut([4], ["cluster"]).select("row_id", "cluster")
+
+
+def _hac_sql(linkage: str) -> str:
+    return f"""WITH RECURSIVE {greedy_sql(_NATIONS_SQL, linkage, 4)}
+SELECT id AS row_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS cluster FROM final"""
+
+
+for _linkage in ("ward", "complete", "average", "single"):
+    query(f"hac_{_linkage}", _hac_sql(_linkage))(
+        lambda spark, sf_dir, linkage=_linkage: _hac(spark, sf_dir, linkage))

@@ -39,3 +39,15 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_ROWS = 5_000_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Use all cores for a small table that is read many times.
+
+    A small file is one split, which would leave every pass to one task. Large tables arrive
+    in many splits and are left alone.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SMALL_ROWS else df

@@ -58,7 +58,7 @@ def analyze_batch(spark: SparkSession, datasets: Mapping[str, DataFrame], settin
 
     names = list(datasets)
     with ThreadPoolExecutor(max(1, at_once)) as pool:
-        status = list(pool.map(inheritable_thread_target(run), names))
+        status = list(pool.map(inheritable_thread_target(spark)(run), names))
     return BatchResult(spark.createDataFrame(status, _STATUS), {n: reports[n] for n in names if n in reports})
 
 

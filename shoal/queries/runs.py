@@ -78,3 +78,114 @@ SELECT id AS row_id, (dense_rank() OVER (ORDER BY c) - 1)::INT AS cluster FROM f
 for _linkage in ("ward", "complete", "average", "single"):
     query(f"hac_{_linkage}", _hac_sql(_linkage))(
         lambda spark, sf_dir, linkage=_linkage: _hac(spark, sf_dir, linkage))
+
+
+@query("hac_heights", f"""WITH RECURSIVE {greedy_sql(_NATIONS_SQL, "ward", 1)}
+SELECT round(height, 6) AS height FROM merge""")
+def hac_heights(spark, sf_dir):
+    return round_columns(agglomerative(nations(spark, sf_dir), "ward").merges.select("height"))
+
+
+def _cut_sizes(labelled, ks):
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("cluster")) for k in ks]))
+    return labelled.select(cells.alias("c")).groupBy("c.k", "c.cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("hac_embeddings")
+def hac_embeddings(spark, sf_dir):
+    """Cluster sizes of the ward tree over all embeddings, cut at 2 to 10."""
+    tree = agglomerative(embedded(spark, sf_dir).select("row_id", "features"), "ward")
+    return _cut_sizes(tree.cut(range(2, 11)), range(2, 11))
+
+
+@query("hac_micro")
+def hac_micro(spark, sf_dir):
+    """Ward tree over 200 micro-clusters of all of lineitem, cut at 2 to 5."""
+    rows = preprocess(table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax")).rows
+    rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "features")
+    tree = agglomerative(rows, "ward", micro=200)
+    return _cut_sizes(tree.cut(range(2, 6)), range(2, 6))
+
+
+# -- choosing K and training ------------------------------------------------------------------------
+
+@query("k_sweep")
+def k_sweep_query(spark, sf_dir):
+    """Every index of both models for K = 2 to 10 over all embeddings, two trials."""
+    rows = embedded(spark, sf_dir).select("row_id", "features")
+    return round_columns(k_sweep(rows, n_trials=2).curves)
+
+
+@query("analyze_k")
+def analyze_k_query(spark, sf_dir):
+    """Best K per index of the last trial, and the agreed suggestion, over all embeddings."""
+    found = analyze_k(embedded(spark, sf_dir).select("row_id", "features"))
+    agreed = found.suggestion.agg(
+        F.max(F.when(F.col("model") == "kmeans", F.col("k"))).alias("kmeans_k"),
+        F.max(F.when(F.col("model") == "hierarchical", F.col("k"))).alias("hierarchical_k"))
+    return found.detail.unionByName(agreed.select(F.lit("Suggested").alias("metric"), "*"))
+
+
+def customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").drop("c_name")
+
+
+@query("train_profile")
+def train_profile(spark, sf_dir):
+    """Profiles of three K-Means and three agglomerative clusters of all customers."""
+    pre = preprocess(customers(spark, sf_dir), key="c_custkey")
+    found = run_clustering(pre.rows.withColumnRenamed("c_custkey", "row_id"))
+    return found.profile_kmeans.select(F.lit("kmeans").alias("model"), "*").unionByName(
+        found.profile_hierarchical.select(F.lit("hierarchical").alias("model"), "*"))
+
+
+@query("full_run_summary")
+def full_run_summary(spark, sf_dir):
+    """A whole run over the suppliers: quality of both models with the suggested K."""
+    report = analyze(table(spark, sf_dir, "supplier").drop("s_name"), Settings(), "supplier", key="s_suppkey")
+    k = F.when(F.col("model") == "K-Means", report.analysis.kmeans_k).otherwise(report.analysis.hierarchical_k)
+    return round_columns(report.result.metrics.withColumn("k", k))
+
+
+# -- many datasets ----------------------------------------------------------------------------------
+
+_BATCH = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _batch_sql() -> str:
+    parts = ", ".join(f"PARTITION BY l_returnflag" for _ in "x")
+    z = ", ".join(f"abs(({c} - avg({c}) OVER ({parts})) / stddev_samp({c}) OVER ({parts})) AS z_{c}" for c in _BATCH)
+    keep = " AND ".join(f"z_{c} < 3" for c in _BATCH)
+    out = ", ".join(f"(({c} - avg({c}) OVER ({parts})) / stddev_pop({c}) OVER ({parts})) AS {c}" for c in _BATCH)
+    shown = ", ".join(f"CASE WHEN abs({c}) < 5e-07 THEN 0.0 ELSE round({c}, 6) END AS {c}" for c in _BATCH)
+    return f"""WITH z AS (SELECT *, {z} FROM lineitem), kept AS (SELECT * FROM z WHERE {keep}),
+scaled AS (SELECT l_returnflag AS dataset, l_orderkey, {out} FROM kept)
+SELECT dataset, l_orderkey, {shown} FROM scaled"""
+
+
+@query("batch_preprocess", _batch_sql())
+def batch_preprocess(spark, sf_dir):
+    """The same preprocessing on one dataset per return flag."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", *_BATCH)
+    flags = sorted(r[0] for r in lines.select("l_returnflag").distinct().collect())
+    parts = []
+    for flag in flags:
+        mine = lines.filter(F.col("l_returnflag") == flag).drop("l_returnflag")
+        parts.append(preprocess(mine, key="l_orderkey").features.select(F.lit(flag).alias("dataset"), "*"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return round_columns(out)
+
+
+@query("batch_run")
+def batch_run(spark, sf_dir):
+    """Whole runs over a folder of CSV files: the suppliers with low and with high balances."""
+    folder = scratch_path(spark, "batch")
+    (table(spark, sf_dir, "supplier").drop("s_name", "s_suppkey")
+     .withColumn("side", F.when(F.col("s_acctbal") < 4500, "low").otherwise("high"))
+     .repartition(1, "side").write.partitionBy("side").option("header", True).csv(folder))
+    done = analyze_folder(spark, folder, Settings(n_trials=1))
+    return done.status.select(F.regexp_extract("dataset", "/side=([^/]+)/", 1).alias("dataset"), "status",
+                              "error", "kmeans_k", "hierarchical_k")

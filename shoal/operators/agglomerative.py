@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.arrays import distances, matrix
 from shoal.functions.columns import col, require_columns
-from shoal.operators.kmeans import compress
+from shoal.operators.kmeans import compress, summarise
 from shoal.session import materialise, scratch_path
 
 LINKAGES = ("ward", "complete", "average", "single")
@@ -60,12 +60,16 @@ class Dendrogram:
     points: DataFrame = field(repr=False)
     rows: DataFrame = field(repr=False)
     key: str
+    features: str
     _chains: DataFrame | None = field(default=None, repr=False)
     _edges: DataFrame | None = field(default=None, repr=False)
     _rounds: int = 0
 
     def cut(self, ks: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
-        """The rows with one label column per ``k``; clusters are numbered by their smallest key."""
+        """The rows with one label column per ``k``; clusters are numbered by their smallest key.
+
+        All columns of the table the tree was built from are kept, and ``micro`` where used.
+        """
         ks = list(ks)
         names = [f"k{k}" for k in ks] if names is None else list(names)
         for k in ks:
@@ -92,8 +96,9 @@ def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", fea
     require_columns(df, [key, features])
     rows = df
     if micro is not None:
-        rows, centres = compress(df, micro, seed=seed, features=features)
-        points = centres.select(F.col("micro").cast("long").alias("pid"), "features", "weight")
+        # written once: finding the nearest of many centres is the costly step
+        rows = materialise(compress(df, micro, seed=seed, features=features), "compressed")
+        points = summarise(rows, features=features).select(F.col("micro").cast("long").alias("pid"), "features", "weight")
     else:
         vectors = col(features).cast("array<double>").alias("features")
         points = (df.select(col(key).cast("long").alias("pid"), vectors).groupBy("features")
@@ -107,7 +112,7 @@ def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", fea
     if n * n > max_pairs:
         raise ValueError(f"{n} distinct points make more than {max_pairs} pairs: give micro=")
     base = dict(linkage=linkage, n_points=n, points=points, rows=rows,
-                key="micro" if micro is not None else key)
+                key="micro" if micro is not None else key, features=features)
     centre = seen["mean"].toArray()  # subtracted in tasks: small numbers keep their digits
     if linkage == "single":
         return _spanning_tree(base, centre, block_rows)
@@ -119,7 +124,7 @@ def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", fea
 def _blocked(items: DataFrame, n: int, block_rows: int, whole_clusters: bool) -> tuple[DataFrame, list[str], bool]:
     """Place rows in blocks; a cluster stays in one block unless it is larger than a block."""
     slots = items.sparkSession.sparkContext.defaultParallelism
-    count = max(1, min(n, max(math.ceil(n / block_rows), math.ceil(math.sqrt(2 * slots)))))
+    count = max(math.ceil(n / block_rows), min(math.ceil(math.sqrt(2 * slots)), math.ceil(n / 1000)))
     names = [str(b) for b in range(count)]
     if not whole_clusters:
         return items.withColumn("block", F.pmod(F.xxhash64("pid"), F.lit(count)).cast("string")), names, False
@@ -534,11 +539,11 @@ def _attach(tree: Dendrogram, labelled: DataFrame, names: Sequence[str]) -> Data
     rows = tree.rows
     if tree.key == "micro":
         lookup = labelled.select(F.col("pid").cast("int").alias("micro"), *names)
-        return rows.join(F.broadcast(lookup), "micro").drop("micro")
+        return rows.join(F.broadcast(lookup), "micro")
     points = tree.points.join(labelled, "pid")
     width = len(tree.points.select("features").first()["features"])
     columns = rows.columns
-    rows = rows.withColumn("__point", F.col("features").cast("array<double>"))
+    rows = rows.withColumn("__point", col(tree.features).cast("array<double>"))
     lookup = points.select(F.col("features").alias("__point"), *names, "weight")
     if tree.n_points * (width + len(names)) <= BROADCAST_CELLS:
         return rows.join(F.broadcast(lookup), "__point").select(*[col(c) for c in columns], *names)

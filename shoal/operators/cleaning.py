@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,6 +192,58 @@ def apply_vocabulary(df: DataFrame, vocab: DataFrame, values: Mapping[str, Colum
     return df, codes
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """Numbered values ``(column, value, n, code)``, their extent, and the moments of the codes."""
+
+    table: DataFrame
+    sizes: Mapping[str, tuple[int, int]]
+    stats: Mapping[str, ColumnStats]
+
+
+def fit_vocabulary(counts: DataFrame, cols: Sequence[str], fill_gaps: bool,
+                   max_values: int = BROADCAST_VALUES) -> tuple[Vocabulary, dict[str, str]]:
+    """Number the counted values; with ``fill_gaps`` missing cells count as the column's mode.
+
+    Returns the vocabulary and the fills. Few values come to the driver once and are numbered
+    there, in one job; beyond ``max_values`` every step stays on the cluster.
+    """
+    counts = materialise(counts, "counts")
+    head = counts.limit(max_values + 1).toArrow()
+    if head.num_rows > max_values or head.nbytes > BROADCAST_BYTES:
+        fills = modes(counts, cols) if fill_gaps else {}
+        if fill_gaps:
+            names = F.create_map(*[F.lit(v) for pair in fills.items() for v in pair])
+            filled = F.coalesce(F.col("value"), F.element_at(names, F.col("column")))
+            counts = (counts.select("column", filled.alias("value"), "n")
+                      .groupBy("column", "value").agg(F.sum("n").alias("n")))
+        table = build_vocabulary(counts)
+        return Vocabulary(table, vocabulary_sizes(table), code_stats(table)), fills
+    seen: dict[str, dict[str | None, int]] = {n: {} for n in cols}
+    for name, value, n in zip(*(head.column(c).to_pylist() for c in ("column", "value", "n"))):
+        seen[name][value] = n
+    fills, rows, sizes, stats = {}, [], {}, {}
+    for name, found in seen.items():
+        if fill_gaps:
+            present = [(-n, v) for v, n in found.items() if v is not None]
+            fills[name] = min(present)[1] if present else MISSING
+            gaps = found.pop(None, 0)
+            if gaps:
+                found[fills[name]] = found.get(fills[name], 0) + gaps
+        words = sorted(found)
+        rows += [(name, w, found[w], code) for code, w in enumerate(words)]
+        sizes[name] = (len(words), sum(len(w.encode()) for w in words))
+        total = sum(found.values())
+        if total:
+            mean = sum(found[w] * code for code, w in enumerate(words)) / total
+            squares = sum(found[w] * (code - mean) ** 2 for code, w in enumerate(words))
+            stats[name] = ColumnStats(total, total, mean, squares / (total - 1) if total > 1 else None,
+                                      0.0, float(len(words) - 1))
+    table = pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(
+        (("column", pa.string()), ("value", pa.string()), ("n", pa.int64()), ("code", pa.int64())))})
+    return Vocabulary(counts.sparkSession.createDataFrame(table), sizes, stats), fills
+
+
 def vocabulary_sizes(vocab: DataFrame) -> dict[str, tuple[int, int]]:
     """Values and text bytes per column."""
     found = vocab.groupBy("column").agg(F.count(F.lit(1)).alias("n"),
@@ -226,12 +280,12 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[Data
     if not names:
         return df, df.sparkSession.createDataFrame([], "column string, value string, n long, code long")
     texts = {n: F.coalesce(col(n).cast("string"), F.lit("nan")) for n in names}
-    vocab = build_vocabulary(value_counts(df.select(*[texts[n].alias(n) for n in names]), names))
-    sizes = vocabulary_sizes(vocab)
-    rows = df.count()
+    counts = value_counts(df.select(*[texts[n].alias(n) for n in names]), names)
+    vocab, _ = fit_vocabulary(counts, names, fill_gaps=False)
+    rows = next(iter(vocab.stats.values())).rows if vocab.stats else 0
     columns = df.columns
-    joined, codes = apply_vocabulary(df, vocab, texts, sizes, rows)
-    return joined.select(*[codes.get(n, col(n)).alias(n) for n in columns]), vocab
+    joined, codes = apply_vocabulary(df, vocab.table, texts, vocab.sizes, rows)
+    return joined.select(*[codes.get(n, col(n)).alias(n) for n in columns]), vocab.table
 
 
 # -- scaling -----------------------------------------------------------------------------

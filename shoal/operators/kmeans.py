@@ -263,20 +263,17 @@ def assign_nearest(df: DataFrame, models: Sequence[np.ndarray], labels: Sequence
                         *[F.col("__labels")[i].alias(name) for i, name in enumerate(labels)])
 
 
-def compress(df: DataFrame, size: int, by: Sequence[str] = (), seed: int = 42,
-             features: str = "features", max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Replace the rows by at most ``size`` weighted micro-clusters, every row counted.
-
-    Returns the rows with their ``micro`` id, and ``(micro, *by, features, weight)`` with the
-    mean of each micro-cluster, split further by the columns ``by``.
-    """
-    fit = kmeans(df, size, seed=seed, max_iter=max_iter, features=features)
-    rows = fit.assign(df, "micro", features)
-    return rows, summarise(rows, by, features)
+def compress(df: DataFrame, size: int, seed: int = 42, features: str = "features",
+             max_iter: int = 20) -> DataFrame:
+    """Add ``micro``, the number of the row's micro-cluster out of at most ``size``."""
+    return kmeans(df, size, seed=seed, max_iter=max_iter, features=features).assign(df, "micro", features)
 
 
 def summarise(rows: DataFrame, by: Sequence[str] = (), features: str = "features") -> DataFrame:
-    """Mean vector and weight per ``micro`` and ``by``, partial sums first."""
+    """Weighted points that stand for the rows: mean vector and weight per ``micro`` and ``by``.
+
+    Every row is counted; partial sums are taken before the shuffle.
+    """
     mean = Summarizer.metrics("mean").summary(array_to_vector(col(features)))
     return (rows.groupBy("micro", *[col(b) for b in by])
             .agg(vector_to_array(mean["mean"]).alias("features"),

@@ -204,7 +204,7 @@ def _silhouette(rows: DataFrame, labels: Sequence[str], clusters: Mapping[str, C
     if n * n > max_pairs:
         raise ValueError(f"{n} distinct points make more than {max_pairs} pairs: compress the table first")
     slots = spark.sparkContext.defaultParallelism
-    blocks = max(1, min(n, max(math.ceil(n / BLOCK_ROWS), math.ceil(math.sqrt(4 * slots)))))
+    blocks = max(math.ceil(n / BLOCK_ROWS), min(math.ceil(math.sqrt(4 * slots)), math.ceil(n / 500)))
     strips = max(1, math.ceil(n / blocks / STRIP_ROWS))
     ids = [clusters[name].labels for name in labels]
     starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])

@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,12 +62,19 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, ColumnStats]:
     """Moments of every column in one aggregate: a partial per task, one small shuffle."""
     if not cols:
         return {}
+    return _read_moments(df.agg(*_moments(df, cols)).first(), cols)
+
+
+def _moments(df: DataFrame, cols: Sequence[str]) -> list[Column]:
     wanted: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(cols):
         x = as_double(df, name)
         wanted += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_samp(x).alias(f"v{i}"),
                    F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*wanted).first()
+    return wanted
+
+
+def _read_moments(row: Row, cols: Sequence[str]) -> dict[str, ColumnStats]:
     return {name: ColumnStats(row["rows"], row[f"n{i}"], row[f"m{i}"], row[f"v{i}"],
                               row[f"lo{i}"], row[f"hi{i}"])
             for i, name in enumerate(cols)}
@@ -156,10 +163,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
     if not names:
         return spark.createDataFrame([], schema)
     data = df.select(*[as_double(df, n).alias(f"x{i}") for i, n in enumerate(names)])
-    stats = column_stats(data, data.columns)
     if len(names) * (len(names) - 1) // 2 <= max_aggregate_pairs:
-        r = _aggregate_r(data, stats)
+        stats, r = _aggregate_r(data)
     else:
+        stats = column_stats(data, data.columns)
         r = _blocked_r(data, stats)
     rows = []
     for i, a in enumerate(names):
@@ -172,28 +179,30 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
     return spark.createDataFrame(rows, schema)
 
 
-def _aggregate_r(data: DataFrame, stats: dict[str, ColumnStats]) -> dict[tuple[int, int], float]:
-    """Pairwise r from one JVM aggregate; constant columns are left out beforehand."""
-    varying = [i for i, n in enumerate(data.columns) if (stats[n].var_samp or 0.0) > 0]
-    pairs = list(combinations(varying, 2))
-    if not pairs:
-        return {}
-    wanted = []
-    for i, j in pairs:
-        a, b = F.col(f"x{i}"), F.col(f"x{j}")
-        wanted.append(F.covar_samp(a, b).alias(f"c_{i}_{j}"))
-        for own, other, x, y in ((i, j, a, b), (j, i, b, a)):
-            if stats[f"x{other}"].count < stats[f"x{other}"].rows:
-                wanted.append(F.stddev_samp(F.when(y.isNotNull(), x)).alias(f"s_{own}_{other}"))
-    row = data.agg(*wanted).first().asDict()
+def _aggregate_r(data: DataFrame) -> tuple[dict[str, ColumnStats], dict[tuple[int, int], float]]:
+    """Pairwise r from one JVM aggregate, and a second one where a column has gaps."""
+    pairs = list(combinations(range(len(data.columns)), 2))
+    x = [F.col(n) for n in data.columns]
+    row = data.agg(*_moments(data, data.columns),
+                   *[F.covar_samp(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first()
+    stats = _read_moments(row, data.columns)
+    varies = [(stats[n].var_samp or 0.0) > 0 for n in data.columns]
+    gaps = [stats[n].count < stats[n].rows for n in data.columns]
+    # the deviation of one column over the rows where the other is present
+    shared = [(own, other) for pair in pairs if varies[pair[0]] and varies[pair[1]]
+              for own, other in (pair, pair[::-1]) if gaps[other]]
+    spread: dict = {}
+    if shared:
+        spread = data.agg(*[F.stddev_samp(F.when(x[other].isNotNull(), x[own])).alias(f"s_{own}_{other}")
+                            for own, other in shared]).first().asDict()
     out = {}
     for i, j in pairs:
-        si = row.get(f"s_{i}_{j}", stats[f"x{i}"].std_samp)
-        sj = row.get(f"s_{j}_{i}", stats[f"x{j}"].std_samp)
+        si = spread.get(f"s_{i}_{j}", stats[f"x{i}"].std_samp)
+        sj = spread.get(f"s_{j}_{i}", stats[f"x{j}"].std_samp)
         cov = row[f"c_{i}_{j}"]
-        if cov is not None and si and sj:
+        if varies[i] and varies[j] and cov is not None and si and sj:
             out[i, j] = max(-1.0, min(1.0, cov / (si * sj)))
-    return out
+    return stats, out
 
 
 def _blocked_r(data: DataFrame, stats: dict[str, ColumnStats]) -> dict[tuple[int, int], float]:

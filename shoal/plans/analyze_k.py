@@ -58,26 +58,22 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = K_RANGE, n_trials: int = 1, seed:
     if n_trials < 1 or not ks or ks[0] < 2:
         raise ValueError("need at least one trial and K from 2 upwards")
     require_columns(df, [key, features])
-    rows = df.select(col(key).alias("row_id"), col(features).cast("array<double>").alias("features"))
-    n = rows.count()
+    n = df.count()
     if n < ks[-1] + 1:
         raise ValueError(f"{n} rows are too few for K up to {ks[-1]}")
     seeds = [seed + t for t in range(n_trials)]
-    fits = kmeans_many(rows, ks, seeds)
-    tree = agglomerative(rows, "ward", micro=micro, seed=seed, max_pairs=max_pairs)
+    fits = kmeans_many(df, ks, seeds, key, features)
+    tree = agglomerative(df, "ward", key, features, micro, seed, max_pairs)
     by_tree = {f"h_{k}": k for k in ks}
     by_fit = {f"m_{s}_{k}": (s, k) for s in seeds for k in ks}
-    labelled = assign_nearest(tree.cut(ks, list(by_tree)), [fits[m].centres for m in by_fit.values()], list(by_fit))
-    points = None
-    if micro is not None:
-        # the micro-cluster of every row, split by its labels: few weighted points, all rows counted
-        nearest = tree.rows.select("row_id", "micro")
-        labelled = materialise(labelled.join(nearest, "row_id"), "labelled")
-        points = summarise(labelled, [*by_tree, *by_fit])
-    else:
-        labelled = materialise(labelled, "labelled")
-    scores = {r["model"]: r for r in score(labelled, [*by_tree, *by_fit], max_pairs=max_pairs,
-                                           points=points).collect()}
+    names = [*by_tree, *by_fit]
+    labelled = assign_nearest(tree.cut(ks, list(by_tree)), [fits[m].centres for m in by_fit.values()],
+                              list(by_fit), features)
+    kept = [c for c in ("micro",) if micro is not None]
+    labelled = materialise(labelled.select(col(features).alias("features"), *kept, *names), "labelled")
+    # micro-clusters are split by the labels of their rows, so that a point has one label per model
+    points = summarise(labelled, names) if micro is not None else None
+    scores = {r["model"]: r for r in score(labelled, names, max_pairs=max_pairs, points=points).collect()}
     curves = []
     for t, s in enumerate(seeds, start=1):
         for k in ks:

@@ -42,12 +42,17 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 SMALL_ROWS = 5_000_000
+TASK_ROWS = 10_000
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Use all cores for a small table that is read many times.
+    """Size the tasks of a small table that is read many times.
 
-    A small file is one split, which would leave every pass to one task. Large tables arrive
-    in many splits and are left alone.
+    A small file is one split, which would leave every pass to one task, and a tiny table in
+    many pieces costs more to schedule than to read. Large tables arrive in many splits and
+    are left alone.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SMALL_ROWS else df
+    if rows > SMALL_ROWS:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(slots, rows // TASK_ROWS)))

@@ -204,3 +204,17 @@ def test_plan_prunes_and_keeps_rows_in_place(spark, sf_dir):
     plan = preprocess(df).features._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_vocabulary_paths_agree(spark):
+    from shoal.operators.cleaning import fit_vocabulary
+    df = spark.createDataFrame([(f"w{i % 7}" if i % 5 else None, None, "q") for i in range(100)],
+                               "s string, t string, u string")
+    few, fills = fit_vocabulary(value_counts(df, ["s", "t", "u"]), ["s", "t", "u"], True)
+    many, same = fit_vocabulary(value_counts(df, ["s", "t", "u"]), ["s", "t", "u"], True, max_values=2)
+    assert fills == same and dict(few.sizes) == dict(many.sizes)
+    assert sorted(few.table.collect()) == sorted(many.table.select(few.table.columns).collect())
+    for name, stats in few.stats.items():
+        other = many.stats[name]
+        assert (stats.rows, stats.maximum) == (other.rows, other.maximum)
+        assert (stats.mean, stats.var_samp) == pytest.approx((other.mean, other.var_samp))

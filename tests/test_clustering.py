@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import reference_math as ref
 from shoal.operators.agglomerative import LINKAGES, agglomerative
-from shoal.operators.kmeans import compress, kmeans, kmeans_many, lloyd
+from shoal.operators.kmeans import compress, kmeans, kmeans_many, lloyd, summarise
 from shoal.operators.pca import pca
 from shoal.operators.quality import score, silhouette
 
@@ -114,7 +114,8 @@ def test_lloyd(spark):
 
 def test_compress_counts_every_row(spark, embeddings):
     x, label = embeddings
-    rows, centres = compress(frame(spark, x[:200], label=label[:200]), 20, by=["label"])
+    rows = compress(frame(spark, x[:200], label=label[:200]), 20)
+    centres = summarise(rows, by=["label"])
     assert rows.count() == 200 and centres.agg(F.sum("weight")).first()[0] == 200
     total = np.sum([np.array(r["features"]) * r["weight"] for r in centres.collect()], axis=0)
     assert np.allclose(total, x[:200].sum(0))

@@ -6,3 +6,30 @@ from pyspark import cloudpickle
 
 # Functions sent to tasks travel whole, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from shoal.operators.agglomerative import Dendrogram, agglomerative  # noqa: E402
+from shoal.operators.choose_k import (  # noqa: E402
+    best_k, consensus, k_detail, kneedle, voting_history, weighted_vote)
+from shoal.operators.cleaning import drop_missing, impute, label_encode, scale, zscore_filter  # noqa: E402
+from shoal.operators.columns import assemble, drop_columns, preview, shape_summary  # noqa: E402
+from shoal.operators.kmeans import assign_nearest, compress, kmeans, kmeans_many, lloyd  # noqa: E402
+from shoal.operators.pca import pca, projection  # noqa: E402
+from shoal.operators.quality import (  # noqa: E402
+    calinski_harabasz, davies_bouldin, score, silhouette)
+from shoal.operators.statistics import cluster_profile, correlation_matrix  # noqa: E402
+from shoal.plans.analyze_k import analyze_k, k_sweep  # noqa: E402
+from shoal.plans.batch import analyze_batch, analyze_folder  # noqa: E402
+from shoal.plans.preprocess import Preprocessed, preprocess  # noqa: E402
+from shoal.plans.report import Report, Settings, analyze  # noqa: E402
+from shoal.plans.train import run_clustering  # noqa: E402
+from shoal.sources.csv import infer_types, load_csv, load_csv_folder, load_csv_tables  # noqa: E402
+from shoal.sources.results import read_results, write_results  # noqa: E402
+
+__all__ = [
+    "Dendrogram", "Preprocessed", "Report", "Settings", "agglomerative", "analyze", "analyze_batch",
+    "analyze_folder", "analyze_k", "assemble", "assign_nearest", "best_k", "calinski_harabasz",
+    "cluster_profile", "compress", "consensus", "correlation_matrix", "davies_bouldin", "drop_columns",
+    "drop_missing", "impute", "infer_types", "k_detail", "k_sweep", "kmeans", "kmeans_many", "kneedle",
+    "label_encode", "lloyd", "load_csv", "load_csv_folder", "load_csv_tables", "pca", "preprocess",
+    "preview", "projection", "read_results", "run_clustering", "scale", "score", "shape_summary",
+    "silhouette", "voting_history", "weighted_vote", "write_results", "zscore_filter"]

@@ -206,11 +206,11 @@ def fit_vocabulary(counts: DataFrame, cols: Sequence[str], fill_gaps: bool,
     """Number the counted values; with ``fill_gaps`` missing cells count as the column's mode.
 
     Returns the vocabulary and the fills. Few values come to the driver once and are numbered
-    there, in one job; beyond ``max_values`` every step stays on the cluster.
+    there; beyond ``max_values`` or ``BROADCAST_BYTES`` every step stays on the cluster.
     """
     counts = materialise(counts, "counts")
-    head = counts.limit(max_values + 1).toArrow()
-    if head.num_rows > max_values or head.nbytes > BROADCAST_BYTES:
+    extent = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("size")).first()
+    if extent["n"] > max_values or (extent["size"] or 0) > BROADCAST_BYTES:
         fills = modes(counts, cols) if fill_gaps else {}
         if fill_gaps:
             names = F.create_map(*[F.lit(v) for pair in fills.items() for v in pair])
@@ -219,6 +219,7 @@ def fit_vocabulary(counts: DataFrame, cols: Sequence[str], fill_gaps: bool,
                       .groupBy("column", "value").agg(F.sum("n").alias("n")))
         table = build_vocabulary(counts)
         return Vocabulary(table, vocabulary_sizes(table), code_stats(table)), fills
+    head = counts.toArrow()
     seen: dict[str, dict[str | None, int]] = {n: {} for n in cols}
     for name, value, n in zip(*(head.column(c).to_pylist() for c in ("column", "value", "n"))):
         seen[name][value] = n

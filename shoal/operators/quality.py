@@ -23,10 +23,11 @@ from shoal.session import materialise
 
 # Exact silhouette compares all distinct points: refuse beyond this many pairs.
 MAX_PAIRS = 4_000_000_000_000
-# Points per block of the pair grid, per strip of partial sums, and per distance tile.
+# Points per block of the pair grid and per distance tile, and sums per strip of points: the
+# partial sums of a strip meet in one task, one from every block.
 BLOCK_ROWS = 4096
-STRIP_ROWS = 256
 TILE_ROWS = 512
+STRIP_CELLS = 32_768
 # Centres are sent to every task: refuse tables of centres larger than this.
 MAX_CENTRE_VALUES = 20_000_000
 _FLUSH_GROUPS = 20_000
@@ -205,10 +206,10 @@ def _silhouette(rows: DataFrame, labels: Sequence[str], clusters: Mapping[str, C
         raise ValueError(f"{n} distinct points make more than {max_pairs} pairs: compress the table first")
     slots = spark.sparkContext.defaultParallelism
     blocks = max(math.ceil(n / BLOCK_ROWS), min(math.ceil(math.sqrt(4 * slots)), math.ceil(n / 500)))
-    strips = max(1, math.ceil(n / blocks / STRIP_ROWS))
     ids = [clusters[name].labels for name in labels]
     starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
     width = int(starts[-1])
+    strips = max(1, math.ceil(n / blocks * width / STRIP_CELLS))
     # translation changes no distance, and small numbers keep their digits
     first = clusters[labels[0]]
     centre = (first.sizes[:, None] * first.centres).sum(0) / first.sizes.sum()

@@ -142,8 +142,8 @@ def train_profile(spark, sf_dir):
 
 @query("full_run_summary")
 def full_run_summary(spark, sf_dir):
-    """A whole run over the suppliers: quality of both models with the suggested K."""
-    report = analyze(table(spark, sf_dir, "supplier").drop("s_name"), Settings(), "supplier", key="s_suppkey")
+    """A whole run over the customers: quality of both models with the suggested K."""
+    report = analyze(customers(spark, sf_dir), Settings(), "customer", key="c_custkey")
     k = F.when(F.col("model") == "K-Means", report.analysis.kmeans_k).otherwise(report.analysis.hierarchical_k)
     return round_columns(report.result.metrics.withColumn("k", k))
 

@@ -45,7 +45,7 @@ def test_quality_of_several_labelings(spark, embeddings):
 def test_silhouette_with_copies_and_small_blocks(spark, monkeypatch):
     from shoal.operators import quality
     monkeypatch.setattr(quality, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(quality, "STRIP_ROWS", 3)
+    monkeypatch.setattr(quality, "STRIP_CELLS", 12)
     monkeypatch.setattr(quality, "TILE_ROWS", 5)
     rng = np.random.default_rng(3)
     x = np.vstack([np.repeat(rng.normal(size=(1, 3)), 40, axis=0), rng.normal(size=(80, 3)) + 1000])

@@ -31,8 +31,8 @@ from shoal.operators.kmeans import compress, summarise
 from shoal.session import materialise, scratch_path
 
 LINKAGES = ("ward", "complete", "average", "single")
-# Refuse the exact tree beyond this many pairs of distinct points; micro-clusters are the way.
-MAX_PAIRS = 4_000_000_000_000
+# The caller may refuse the exact tree beyond some number of pairs of distinct points; micro-clusters are the way.
+MAX_PAIRS: int | None = None
 BLOCK_ROWS = 4096
 TILE_ROWS = 256
 # The last merges of a tree: once this few clusters remain, their linkage matrix (8 MB at most)
@@ -68,22 +68,45 @@ class Dendrogram:
     def cut(self, ks: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
         """The rows with one label column per ``k``; clusters are numbered by their smallest key.
 
+        Beyond the number of distinct points copies are split off, as many as ``k`` asks for.
         All columns of the table the tree was built from are kept, and ``micro`` where used.
         """
         ks = list(ks)
         names = [f"k{k}" for k in ks] if names is None else list(names)
-        for k in ks:
-            if not 1 <= k <= self.n_points:
-                raise ValueError(f"k = {k} clusters of {self.n_points} distinct points")
-        if self.linkage == "single":
-            labelled = _cut_spanning_tree(self, ks, names)
-        else:
-            labelled = _cut_tree(self, ks, names)
-        return _attach(self, labelled, names)
+        spare = max(ks, default=0) - self.n_points
+        copies = self._copies(spare) if spare > 0 else []
+        if not ks or min(ks) < 1 or spare > len(copies):
+            raise ValueError(f"K from {ks} for {self.n_points} distinct points and {len(copies)} copies of them")
+        inside = [(k, n) for k, n in zip(ks, names) if k <= self.n_points]
+        asked = [(self.n_points, "__points")] * (spare > 0) + inside
+        cut = _cut_spanning_tree if self.linkage == "single" else _cut_tree
+        labelled = _attach(self, cut(self, [k for k, _ in asked], [n for _, n in asked]), [n for _, n in asked])
+        if spare <= 0:
+            return labelled
+        # copies merge at height 0, the last to be undone: those with the smallest keys leave their point first
+        pids = [r["pid"] for r in self.points.select("pid").collect()]  # fewer than max(ks)
+        for k, name in zip(ks, names):
+            if k > self.n_points:
+                alone = copies[:k - self.n_points]
+                place = {p: i for i, p in enumerate(sorted([*pids, *alone]))}
+                of_point = F.array(*[F.lit(place[p]) for p in sorted(pids)])
+                of_copy = F.create_map(*[F.lit(v) for p in alone for v in (p, place[p])])
+                labelled = labelled.withColumn(name, F.coalesce(
+                    F.try_element_at(of_copy, col(self.key).cast("long")), F.get(of_point, F.col("__points"))).cast("int"))
+        kept = [c for c in labelled.columns if c not in names and c != "__points"]
+        return labelled.select(*[col(c) for c in kept], *[col(n) for n in names])
+
+    def _copies(self, most: int) -> list[int]:
+        """Smallest keys of rows that repeat another row's features, at most ``most``."""
+        if self.key == "micro":
+            return []
+        first = self.points.select("pid")
+        keys = self.rows.select(col(self.key).cast("long").alias("pid"))
+        return [r["pid"] for r in keys.join(F.broadcast(first), "pid", "left_anti").orderBy("pid").limit(most).collect()]
 
 
 def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", features: str = "features",
-                  micro: int | None = None, seed: int = 42, max_pairs: int = MAX_PAIRS,
+                  micro: int | None = None, seed: int = 42, max_pairs: int | None = MAX_PAIRS,
                   last_clusters: int = LAST_CLUSTERS, block_rows: int = BLOCK_ROWS) -> Dendrogram:
     """Build the tree of a table with a unique BIGINT ``key`` and an array of ``features``.
 
@@ -109,7 +132,7 @@ def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", fea
     n = int(seen["count"] or 0)
     if n == 0:
         raise ValueError("no rows to cluster")
-    if n * n > max_pairs:
+    if max_pairs is not None and n * n > max_pairs:
         raise ValueError(f"{n} distinct points make more than {max_pairs} pairs: give micro=")
     base = dict(linkage=linkage, n_points=n, points=points, rows=rows,
                 key="micro" if micro is not None else key, features=features)

@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 
 from shoal.functions.arrays import distances, lists, matrix, nearest
 from shoal.functions.columns import col
-from shoal.session import spread
+from shoal.session import TASK_ROWS, spread
+
+MOST_PARTS = 20_000
+#: Candidates compared for each centre of a start, whatever the number of clusters.
+CANDIDATES = 4
 
 
 @dataclass(frozen=True)
@@ -46,8 +50,13 @@ def kmeans(df: DataFrame, k: int, seed: int = 42, max_iter: int = 300, tol: floa
     if not 1 <= k <= n:
         raise ValueError(f"k = {k} clusters for {n} rows")
     variance = float(stats["variance"].toArray().mean())
+    # the built-in start draws per partition: deal the rows by their content, in as many parts
+    # as the table's size asks for, so that the fit does not depend on cores or input splits
+    parts = max(1, min(MOST_PARTS, n // TASK_ROWS))
+    dealt = (df.select(col(features).cast("array<double>").alias("x")).repartition(parts, F.xxhash64("x"))
+             .sortWithinPartitions("x").select(array_to_vector("x").alias("features")))
     # the built-in limit is on the way of each single centre
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=math.sqrt(tol * variance / k)).fit(spread(data, n))
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=math.sqrt(tol * variance / k)).fit(dealt)
     centres = np.array(sorted(tuple(c) for c in model.clusterCenters()))
     return KMeansFit(centres, model.summary.trainingCost)
 
@@ -62,8 +71,8 @@ def kmeans_many(df: DataFrame, ks: Sequence[int], seeds: Sequence[int], key: str
     All fits share each scan of the table: a pass assigns the rows under every model still
     moving and returns one sum per task and cluster. A sweep of 9 values of K and 10 seeds
     then costs as many scans as its slowest fit, not the sum over 90 fits. Starts are greedy
-    k-means++, one pass per centre for all seeds; the draws hash the row key, so they do not
-    depend on how the table is partitioned.
+    k-means++, one pass per centre for all seeds; the draws hash the row key, so they depend
+    neither on how the table is partitioned nor on which other K are fitted.
     """
     ks = sorted(set(ks))
     data = df.select(col(key).cast("long").alias("id"), col(features).cast("array<double>").alias("features"))
@@ -113,10 +122,10 @@ def _starts(data: DataFrame, k: int, seeds: list[int], middle: np.ndarray) -> di
     """Greedy k-means++: of a few candidates drawn in proportion to the squared distance, keep
     the one that lowers the total most. The candidates after each possible choice are drawn in
     the pass that compares them, so that a centre costs one pass."""
-    draws = 2 + int(math.log(k))
+    draws = CANDIDATES
     chosen = {s: np.empty((0, len(middle))) for s in seeds}
     offered: dict[int, np.ndarray] = {}
-    for step in range(k):
+    for step in range(k + 1):  # a pass compares what the one before drew, the last centre's too
         before, options = dict(chosen), dict(offered)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +172,7 @@ def _starts(data: DataFrame, k: int, seeds: list[int], middle: np.ndarray) -> di
                 mine = [r for r in mine if r["option"] == pick and np.isfinite(r["rank"])]
             # no finite draw: every row already is a centre
             offered[s] = np.array([r["point"] for r in mine]) if mine else chosen[s][-1:]
-    # the last pass only drew; its candidates have not been compared
-    return {s: _distinct(np.vstack([chosen[s], offered[s][:1]])) for s in seeds}
+    return {s: _distinct(chosen[s]) for s in seeds}
 
 
 def _distinct(centres: np.ndarray) -> np.ndarray:
@@ -264,7 +272,7 @@ def assign_nearest(df: DataFrame, models: Sequence[np.ndarray], labels: Sequence
 
 
 def compress(df: DataFrame, size: int, seed: int = 42, features: str = "features",
-             max_iter: int = 20) -> DataFrame:
+             max_iter: int = 300) -> DataFrame:
     """Add ``micro``, the number of the row's micro-cluster out of at most ``size``."""
     return kmeans(df, size, seed=seed, max_iter=max_iter, features=features).assign(df, "micro", features)
 

@@ -22,7 +22,7 @@ from shoal.functions.columns import col, require_columns
 from shoal.session import materialise
 
 # Exact silhouette compares all distinct points: refuse beyond this many pairs.
-MAX_PAIRS = 4_000_000_000_000
+MAX_PAIRS: int | None = None
 # Points per block of the pair grid and per distance tile, and sums per strip of points: the
 # partial sums of a strip meet in one task, one from every block.
 BLOCK_ROWS = 4096
@@ -181,7 +181,7 @@ def calinski_harabasz(df: DataFrame, labels: Sequence[str], features: str = "fea
 # -- silhouette ---------------------------------------------------------------------------
 
 def silhouette(df: DataFrame, labels: Sequence[str], features: str = "features",
-               weight: str | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
+               weight: str | None = None, max_pairs: int | None = MAX_PAIRS) -> DataFrame:
     """``(model, cluster, n, silhouette)``: mean Euclidean silhouette per cluster, exact.
 
     Equal points are merged into one with a weight. The distinct points form a grid of block
@@ -195,14 +195,14 @@ def silhouette(df: DataFrame, labels: Sequence[str], features: str = "features",
 
 
 def _silhouette(rows: DataFrame, labels: Sequence[str], clusters: Mapping[str, Clusters],
-                max_pairs: int) -> DataFrame:
+                max_pairs: int | None) -> DataFrame:
     spark = rows.sparkSession
     for name in labels:
         _need_clusters(clusters[name])
     merged = rows.groupBy("features", "labels").agg(F.sum("weight").alias("weight"))
     points = materialise(merged.withColumn("id", F.monotonically_increasing_id()), "points")
     n = points.count()
-    if n * n > max_pairs:
+    if max_pairs is not None and n * n > max_pairs:
         raise ValueError(f"{n} distinct points make more than {max_pairs} pairs: compress the table first")
     slots = spark.sparkContext.defaultParallelism
     blocks = max(math.ceil(n / BLOCK_ROWS), min(math.ceil(math.sqrt(4 * slots)), math.ceil(n / 500)))
@@ -304,7 +304,7 @@ def _silhouette(rows: DataFrame, labels: Sequence[str], clusters: Mapping[str, C
 # -- all indices -------------------------------------------------------------------------------
 
 def score(df: DataFrame, labels: Sequence[str], features: str = "features", weight: str | None = None,
-          silhouette: str | None = "exact", max_pairs: int = MAX_PAIRS,
+          silhouette: str | None = "exact", max_pairs: int | None = MAX_PAIRS,
           points: DataFrame | None = None) -> DataFrame:
     """``(model, silhouette, davies_bouldin, calinski_harabasz)``, one row per label column.
 

@@ -5,19 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions.columns import as_double, col, numeric_columns, require_columns
 
-# Up to this many column pairs the correlation is one JVM aggregate; wider tables use the blocked
-# product, whose cost per row does not grow with generated code (measured: half the time at 28).
-AGGREGATE_PAIRS = 10
 # Up to this many rows a single exact-median aggregate holds a column's values in one task.
 MEDIAN_ROWS = 1_000_000
 _SKETCH = 10_000
@@ -151,118 +147,137 @@ def _between(df: DataFrame, name: str, lo: float | None, hi: float | None) -> Co
 
 # -- correlation ----------------------------------------------------------------------
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
-                       max_aggregate_pairs: int = AGGREGATE_PAIRS) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every ordered column pair over the rows where both cells are present.
 
-    Returns ``(col_a, col_b, r)``; a constant side gives NULL. Each pair is computed once.
+    Returns ``(col_a, col_b, r)``; r is NULL for fewer than two shared rows or a side that is
+    constant over them. One formula for any width: tasks reduce their rows to count, means,
+    squares, product and range of each pair about the means of the rows that pair shares, and
+    these parts are merged about the common mean, so no large cell elsewhere costs digits.
     """
     names = require_columns(df, cols) if cols is not None else numeric_columns(df)
-    schema = "col_a string, col_b string, r double"
     spark = df.sparkSession
     if not names:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "col_a string, col_b string, r double")
     data = df.select(*[as_double(df, n).alias(f"x{i}") for i, n in enumerate(names)])
-    if len(names) * (len(names) - 1) // 2 <= max_aggregate_pairs:
-        stats, r = _aggregate_r(data)
-    else:
-        stats = column_stats(data, data.columns)
-        r = _blocked_r(data, stats)
-    rows = []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            if i == j:
-                s = stats[f"x{i}"]
-                rows.append((a, b, 1.0 if (s.var_samp or 0.0) > 0 else None))
+    found = _merged_r(_pair_moments(data))
+    both = found.union(found.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    width, named = len(names), F.array(*[F.lit(n) for n in names])
+    grid = spark.range(width * width).select(F.expr(f"CAST(id DIV {width} AS INT)").alias("i"),
+                                             F.expr(f"CAST(id % {width} AS INT)").alias("j"))
+    return grid.join(both, ["i", "j"], "left").select(
+        F.get(named, F.col("i")).alias("col_a"), F.get(named, F.col("j")).alias("col_b"), "r")
+
+
+_MOMENTS = ("n", "mean", "square", "product", "lo", "hi")
+
+
+def _batch_moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Matrices over column pairs: of the first column over the rows the pair shares, and the shared product."""
+    seen = ~np.isnan(x)
+    width = x.shape[1]
+    out = {name: np.zeros((width, width)) for name in _MOMENTS}
+    out["n"] = seen.T.astype(float) @ seen
+    full = np.flatnonzero(seen.all(0))
+    if len(full):  # these pairs share all rows: one matrix product
+        means, z = x[:, full].mean(0), x[:, full] - x[:, full].mean(0)
+        at = np.ix_(full, full)
+        out["product"][at] = z.T @ z
+        out["mean"][at], out["square"][at] = means[:, None], (z * z).sum(0)[:, None]
+        out["lo"][at], out["hi"][at] = x[:, full].min(0)[:, None], x[:, full].max(0)[:, None]
+    for g in np.flatnonzero(~seen.all(0)):
+        rows, there = x[seen[:, g]], seen[seen[:, g]]
+        n = np.maximum(there.sum(0), 1)
+        for own, other in ((np.broadcast_to(rows[:, g:g + 1], rows.shape), False), (rows, True)):
+            at = (slice(None), g) if other else (g, slice(None))
+            mean = np.where(there, own, 0.0).sum(0) / n
+            gap = np.where(there, own - mean, 0.0)
+            out["mean"][at], out["square"][at] = mean, (gap * gap).sum(0)
+            out["lo"][at] = np.where(there, own, np.inf).min(0, initial=np.inf)
+            out["hi"][at] = np.where(there, own, -np.inf).max(0, initial=-np.inf)
+            if other:
+                out["product"][:, g] = out["product"][g, :] = (first * gap).sum(0)
             else:
-                rows.append((a, b, r.get((min(i, j), max(i, j)))))
-    return spark.createDataFrame(rows, schema)
-
-
-def _aggregate_r(data: DataFrame) -> tuple[dict[str, ColumnStats], dict[tuple[int, int], float]]:
-    """Pairwise r from one JVM aggregate, and a second one where a column has gaps."""
-    pairs = list(combinations(range(len(data.columns)), 2))
-    x = [F.col(n) for n in data.columns]
-    row = data.agg(*_moments(data, data.columns),
-                   *[F.covar_samp(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in pairs]).first()
-    stats = _read_moments(row, data.columns)
-    varies = [(stats[n].var_samp or 0.0) > 0 for n in data.columns]
-    gaps = [stats[n].count < stats[n].rows for n in data.columns]
-    # the deviation of one column over the rows where the other is present
-    shared = [(own, other) for pair in pairs if varies[pair[0]] and varies[pair[1]]
-              for own, other in (pair, pair[::-1]) if gaps[other]]
-    spread: dict = {}
-    if shared:
-        spread = data.agg(*[F.stddev_samp(F.when(x[other].isNotNull(), x[own])).alias(f"s_{own}_{other}")
-                            for own, other in shared]).first().asDict()
-    out = {}
-    for i, j in pairs:
-        si = spread.get(f"s_{i}_{j}", stats[f"x{i}"].std_samp)
-        sj = spread.get(f"s_{j}_{i}", stats[f"x{j}"].std_samp)
-        cov = row[f"c_{i}_{j}"]
-        if varies[i] and varies[j] and cov is not None and si and sj:
-            out[i, j] = max(-1.0, min(1.0, cov / (si * sj)))
-    return stats, out
-
-
-def _blocked_r(data: DataFrame, stats: dict[str, ColumnStats]) -> dict[tuple[int, int], float]:
-    """Pairwise r of a wide table from per-task products of the standardised columns.
-
-    Each task reduces its rows to five sums per column pair; Spark adds those up, so the
-    shuffle and the result depend on the number of columns and tasks, not on the rows.
-    """
-    varying = [i for i, n in enumerate(data.columns) if (stats[n].var_samp or 0.0) > 0]
-    if len(varying) < 2:
-        return {}
-    names = [f"x{i}" for i in varying]
-    mean = np.array([stats[n].mean for n in names])
-    std = np.array([stats[n].std_samp for n in names])
-    ii, jj = np.triu_indices(len(names), 1)
-    fields = ("n", "sx", "sy", "sxx", "syy", "sxy")
+                first = gap
+    return out
+
+
+def _merge_moments(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    n = a["n"] + b["n"]
+    step = np.where(b["n"] > 0, np.where(a["n"] > 0, b["mean"] - a["mean"], 0.0), 0.0)
+    weight = np.divide(a["n"] * b["n"], n, out=np.zeros_like(n), where=n > 0)
+    mean = np.where(a["n"] > 0, a["mean"] + step * np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0), b["mean"])
+    empty_a, empty_b = a["n"] == 0, b["n"] == 0
+    return {"n": n, "mean": mean, "square": a["square"] + b["square"] + step * step * weight,
+            "product": a["product"] + b["product"] + step * step.T * weight,
+            "lo": np.minimum(np.where(empty_a, np.inf, a["lo"]), np.where(empty_b, np.inf, b["lo"])),
+            "hi": np.maximum(np.where(empty_a, -np.inf, a["hi"]), np.where(empty_b, -np.inf, b["hi"]))}
+
+
+def _pair_moments(data: DataFrame) -> DataFrame:
+    """Per task and column pair (i <= j): shared rows, and means, squares, product and ranges over them."""
+    width = len(data.columns)
+    ii, jj = np.triu_indices(width)
+    names = ["i", "j", "n", "mean_i", "mean_j", "square_i", "square_j", "product", "lo_i", "hi_i", "lo_j", "hi_j"]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            seen = (~np.isnan(x)).astype(float)
-            z = np.nan_to_num((x - mean) / std) * seen
-            square = z * z
-            sums = np.stack([seen.T @ seen, z.T @ seen, seen.T @ z,
-                             square.T @ seen, seen.T @ square, z.T @ z])[:, ii, jj]
-            total = sums if total is None else total + sums
+            if batch.num_rows:
+                part = _batch_moments(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float))
+                total = part if total is None else _merge_moments(total, part)
         if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ii, pa.int32()), pa.array(jj, pa.int32())] + [pa.array(t) for t in total],
-                names=["i", "j", *fields])
-
-    schema = "i int, j int, " + ", ".join(f"{f} double" for f in fields)
-    sums = (data.select(*names).mapInArrow(partial, schema)
-            .groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in fields]))
-    n = F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.try_divide(F.col("sx"), n)
-    vy = F.col("syy") - F.col("sy") * F.try_divide(F.col("sy"), n)
-    cov = F.col("sxy") - F.col("sx") * F.try_divide(F.col("sy"), n)
-    # a side constant over the shared rows leaves only rounding noise in its sum of squares
-    usable = (n > 1) & (vx > 1e-12 * n) & (vy > 1e-12 * n)
-    r = sums.select("i", "j", F.when(usable, cov / F.sqrt(vx * vy)).alias("r"))
-    return {(varying[row["i"]], varying[row["j"]]): max(-1.0, min(1.0, row["r"]))
-            for row in r.collect() if row["r"] is not None}
+            values = [total["n"][ii, jj], total["mean"][ii, jj], total["mean"][jj, ii], total["square"][ii, jj],
+                      total["square"][jj, ii], total["product"][ii, jj], total["lo"][ii, jj], total["hi"][ii, jj],
+                      total["lo"][jj, ii], total["hi"][jj, ii]]
+            yield pa.RecordBatch.from_arrays([pa.array(ii, pa.int32()), pa.array(jj, pa.int32())] + [pa.array(v) for v in values], names)
+
+    return data.mapInArrow(partial, "i int, j int, " + ", ".join(f"{n} double" for n in names[2:]))
+
+
+def _merged_r(parts: DataFrame) -> DataFrame:
+    """(i, j, r) from the tasks' parts, merged about the mean of all shared rows of each pair."""
+    pair = Window.partitionBy("i", "j")  # one row per task
+    n = F.sum("n").over(pair)
+    centred = parts.where("n > 0").select(
+        "*", (F.sum(F.col("n") * F.col("mean_i")).over(pair) / n).alias("all_i"),
+        (F.sum(F.col("n") * F.col("mean_j")).over(pair) / n).alias("all_j"))
+    di, dj = F.col("mean_i") - F.col("all_i"), F.col("mean_j") - F.col("all_j")
+    sums = centred.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.sum(F.col("square_i") + F.col("n") * di * di).alias("sii"),
+        F.sum(F.col("square_j") + F.col("n") * dj * dj).alias("sjj"), F.sum(F.col("product") + F.col("n") * di * dj).alias("sij"),
+        (F.min("lo_i") < F.max("hi_i")).alias("varies_i"), (F.min("lo_j") < F.max("hi_j")).alias("varies_j"))
+    r = F.try_divide(F.col("sij"), F.sqrt("sii") * F.sqrt("sjj"))
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return sums.select("i", "j", F.when((F.col("n") > 1) & F.col("varies_i") & F.col("varies_j"), r).alias("r"))
 
 
 # -- profiles ------------------------------------------------------------------------
 
 def cluster_profile(profile: DataFrame, labels: DataFrame | None = None, key: str = "row_id",
-                    label: str = "label", digits: int = 2) -> DataFrame:
+                    label: str = "label", digits: int = 2, drop: Sequence[str] = ("Cluster",),
+                    unlabelled: str = "error") -> DataFrame:
     """Mean of every numeric column per cluster, rounded half-even, ordered by cluster.
 
     With ``labels`` the two tables are joined on ``key``; without it ``profile`` carries the
-    ``label`` column itself and no join is needed. A stale ``Cluster`` column is ignored.
+    ``label`` column itself and no join is needed. Only the columns named in ``drop`` are left
+    out, and the key of a join. A key with two labels is an error, and so is a row without
+    label unless ``unlabelled`` is "skip".
     """
+    if unlabelled not in ("error", "skip"):
+        raise ValueError(f"unlabelled is 'error' or 'skip', not {unlabelled!r}")
+    left_out = [label, *drop]
     if labels is not None:
-        profile = profile.drop(label).join(labels.select(key, label), key)
-    stale = [c for c in profile.columns if c.lower() == "cluster" and c != label]
-    names = numeric_columns(profile, exclude=[key, label, *stale])
-    means = [F.bround(F.avg(as_double(profile, n)), digits).alias(n) for n in names]
-    grouped = profile.groupBy(col(label).cast("int").alias("cluster"))
-    table = grouped.agg(*means) if means else grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    return table.orderBy("cluster")
+        found = labels.groupBy(col(key).alias("__key")).agg(F.min(col(label)).alias("__label"), F.count(F.lit(1)).alias("__n"))
+        joined = profile.join(found, col(key) == F.col("__key"), "left" if unlabelled == "error" else "inner")
+        problem = F.when(F.col("__n") > 1, F.concat(F.lit("more than one label for key "), F.col("__key").cast("string"))).when(
+            F.col("__n").isNull(), F.concat(F.lit("no label for key "), F.coalesce(col(key).cast("string"), F.lit("NULL"))))
+        own = F.when(problem.isNull(), F.col("__label")).otherwise(F.raise_error(problem).cast("int"))
+        profile = joined.withColumn("__own", own).drop(label, "__key", "__label", "__n").withColumnRenamed("__own", label)
+        left_out.append(key)
+    names = numeric_columns(profile, exclude=[n for n in profile.columns if n in left_out])
+    means = [F.bround(F.avg(as_double(profile, n)), digits).alias(n if n != "cluster" else "__cluster") for n in names]
+    grouped = profile.groupBy(col(label).cast("int").alias("__by"))
+    table = grouped.agg(*means) if means else grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+    return table.orderBy("__by").select(F.col("__by").alias("cluster"), *[
+        F.col("__cluster").alias("cluster_mean") if n == "cluster" else col(n) for n in names])

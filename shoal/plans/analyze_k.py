@@ -46,7 +46,7 @@ class KAnalysis:
 
 def k_sweep(df: DataFrame, ks: Sequence[int] = K_RANGE, n_trials: int = 1, seed: int = SEED,
             key: str = "row_id", features: str = "features", micro: int | None = None,
-            max_pairs: int = MAX_PAIRS) -> Sweep:
+            max_pairs: int | None = MAX_PAIRS) -> Sweep:
     """Quality of K-Means and ward clustering for every K, per trial.
 
     All K-Means fits share their scans; the tree is built once and cut for every K, since it
@@ -62,8 +62,8 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = K_RANGE, n_trials: int = 1, seed:
     if n < ks[-1] + 1:
         raise ValueError(f"{n} rows are too few for K up to {ks[-1]}")
     seeds = [seed + t for t in range(n_trials)]
+    tree = agglomerative(df, "ward", key, features, micro, seed, max_pairs)  # refuses too many pairs before any fit
     fits = kmeans_many(df, ks, seeds, key, features)
-    tree = agglomerative(df, "ward", key, features, micro, seed, max_pairs)
     by_tree = {f"h_{k}": k for k in ks}
     by_fit = {f"m_{s}_{k}": (s, k) for s in seeds for k in ks}
     names = [*by_tree, *by_fit]
@@ -87,7 +87,7 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = K_RANGE, n_trials: int = 1, seed:
 def analyze_k(df: DataFrame, n_trials: int = 1, weights: Mapping[str, int] | None = None,
               ks: Sequence[int] = K_RANGE, seed: int = SEED, key: str = "row_id",
               features: str = "features", micro: int | None = None,
-              max_pairs: int = MAX_PAIRS) -> KAnalysis:
+              max_pairs: int | None = MAX_PAIRS) -> KAnalysis:
     """Suggest K for both models by weighted votes of the indices, agreed over the trials."""
     sweep = k_sweep(df, ks, n_trials, seed, key, features, micro, max_pairs)
     best = best_k(sweep.curves)

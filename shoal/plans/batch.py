@@ -52,7 +52,7 @@ def analyze_batch(spark: SparkSession, datasets: Mapping[str, DataFrame], settin
         except Exception as problem:
             if fail_fast:
                 raise
-            return name, "failed", str(problem).splitlines()[0][:500], None, None
+            return name, "failed", str(problem) or repr(problem), None, None
         reports[name] = report
         return name, "completed", None, report.analysis.kmeans_k, report.analysis.hierarchical_k
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators.columns import shape_summary
 from shoal.operators.quality import MAX_PAIRS
+from shoal.operators.statistics import correlation_matrix
 from shoal.plans.analyze_k import KAnalysis, analyze_k
 from shoal.plans.preprocess import Preprocessed, preprocess
 from shoal.plans.train import ClusteringResult, run_clustering
@@ -31,7 +32,7 @@ class Settings:
     weights: Mapping[str, int] | None = None
     seed: int = 42
     micro: int | None = None
-    max_pairs: int = MAX_PAIRS
+    max_pairs: int | None = MAX_PAIRS
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,8 @@ class Report:
             F.col("features")[i].alias(n) for i, n in enumerate(names)])
         return {
             "shape": self.shape, "processed_data": processed, "k_metrics_detail": self.analysis.detail,
+            "k_curves": self.analysis.curves, "correlation": correlation_matrix(processed.drop("row_id")),
+            "projection": self.result.projection,
             "voting_history": self.analysis.history, "metrics": self.result.metrics,
             "profile_kmeans": self.result.profile_kmeans,
             "profile_hierarchical": self.result.profile_hierarchical}
@@ -70,6 +73,9 @@ def analyze(df: DataFrame, settings: Settings = Settings(), name: str = "dataset
     """
     pre = preprocess(df, settings.drop_cols, settings.imputer, settings.scaler,
                      settings.remove_outliers, key=[key] if key else [])
+    empty = [n for n in pre.numeric if pre.stats[n].count == 0]
+    if empty:
+        raise ValueError(f"no values in column {empty[0]!r}")
     row_id = F.col(f"`{key}`").cast("long") if key else F.monotonically_increasing_id()
     rows = materialise(pre.rows.select(row_id.alias("row_id"), "profile", "features"), "rows")
     analysis = analyze_k(rows, settings.n_trials, settings.weights, seed=settings.seed,

@@ -391,4 +391,4 @@ def cluster_profile_query(spark, sf_dir):
 def cluster_profile_join(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label"))
-    return cluster_profile(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), labels, "doc_id")
+    return cluster_profile(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), labels, "doc_id", unlabelled="skip")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoal.functions.columns import col
 
 # Cells that mean "missing", the spellings of booleans, and what counts as a number.
-NA_TOKENS = ("", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
@@ -17,15 +21,25 @@ DECIMAL = (r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
            r"|^\s*[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])\s*$")
 
 
-def _read_text(spark: SparkSession, path: str, multiline: bool, **options) -> DataFrame:
+_MORE = "__more_cells"
+
+
+def _read_text(spark: SparkSession, path: str | list[str], multiline: bool, **options) -> DataFrame:
+    """All cells as text. A row with too few cells is padded with NULL, one with too many fails the job."""
     reader = (spark.read.option("multiLine", multiline).option("quote", '"').option("escape", '"')
-              .option("nullValue", "").option("inferSchema", False).option("mode", "FAILFAST"))
+              .option("nullValue", "").option("inferSchema", False).option("mode", "PERMISSIVE"))
     for name, value in options.items():
         reader = reader.option(name, value)
     header = reader.csv(path).first()
     if header is None:
         raise ValueError(f"no header row in {path}")
-    return reader.option("header", True).csv(path).toDF(*_header_names(list(header)))
+    names = _header_names(list(header))
+    text = T.StringType()
+    schema = T.StructType([*[T.StructField(n, text) for n in names], T.StructField(_MORE, text)])
+    rows = reader.option("header", True).schema(schema).csv(path)
+    problem = F.concat(F.lit(f"a row has more than {len(names)} cells, the next one holds: "), F.col(_MORE))
+    fits = F.when(F.col(_MORE).isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
+    return rows.where(fits)
 
 
 def _header_names(cells: list[str | None]) -> list[str]:
@@ -57,11 +71,11 @@ def load_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> D
 
     A file whose cells may span lines can only be read by one task. Unless ``multiline`` says
     which kind it is, a scan over its lines finds out, and a file without such cells is split.
-    A row with too few or too many cells fails the job.
+    A row with too few cells is padded with missing ones; one with too many fails the job.
     """
     if multiline is None:
         multiline = has_line_breaks(spark, path)
-    return infer_types(_read_text(spark, path, multiline))
+    return infer_types(_read_text(spark, path, multiline).drop(_MORE))
 
 
 def dataset_files(spark: SparkSession, folder: str) -> list[str]:
@@ -80,18 +94,52 @@ def load_csv_folder(spark: SparkSession, folder: str,
     return {path: load_csv(spark, path, multiline) for path in files}
 
 
+def file_headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """Column names of every CSV file of a folder tree, from one scan over first lines.
+
+    One line per file reaches the driver. A header that spans lines is refused.
+    """
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+             .withColumn("at", F.monotonically_increasing_id()))
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("line")).collect()
+    found = {}
+    for row in first:
+        line = row["line"].lstrip("\ufeff")
+        if line.count('"') % 2:
+            raise ValueError(f"the header of {row['path']} spans lines")
+        found[row["path"]] = _header_names(next(csv.reader(io.StringIO(line)), []))
+    return found
+
+
 def load_csv_tables(spark: SparkSession, folder: str, multiline: bool | None = None) -> DataFrame:
-    """All CSV files of a folder tree with one common header as a single table.
+    """All CSV files of a folder tree with the same columns as a single table.
 
-    Adds ``dataset``, the full path of the file a row came from.
+    Columns are matched by name: files may order them differently, and each order is read
+    apart. A file with other columns is an error. Adds ``dataset``, the full path of the file
+    a row came from.
     """
     tree = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
     if multiline is None:
         multiline = has_line_breaks(spark, folder, **tree)
-    text = _read_text(spark, folder, multiline, **tree)
-    names = text.columns
-    typed = infer_types(text.select(*[col(n) for n in names],
-                                    F.col("_metadata.file_path").alias("__dataset")), names)
+    headers = file_headers(spark, folder)
+    if not headers:
+        raise ValueError(f"no .csv file below {folder}")
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for path in sorted(headers):
+        orders.setdefault(tuple(headers[path]), []).append(path)
+    names = next(iter(orders))
+    for order, paths in orders.items():
+        if set(order) != set(names):
+            raise ValueError(f"{paths[0]} has columns {sorted(order)}, other files have {sorted(names)}")
+    text = None
+    for paths in orders.values():
+        # partition folders in the path are names, not columns
+        part = (_read_text(spark, folder, multiline, **tree) if len(orders) == 1
+                else _read_text(spark, paths, multiline, recursiveFileLookup=True))
+        part = part.select(*[col(n) for n in names], F.col("_metadata.file_path").alias("__dataset"))
+        text = part if text is None else text.unionByName(part)
+    typed = infer_types(text, list(names))
     return typed.withColumnRenamed("__dataset", "dataset")
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -125,8 +126,7 @@ def test_missing_rows(spark):
 
 
 def test_types(spark):
-    df = spark.createDataFrame([(True, 1, 1.5, "a")], "b boolean, i int, d decimal(5,2), s string") \
-        if False else spark.sql("select true b, 1 i, cast(1.5 as decimal(5,2)) d, 'a' s, date'2024-01-01' t")
+    df = spark.sql("select true b, 1 i, cast(1.5 as decimal(5,2)) d, 'a' s, date'2024-01-01' t")
     assert numeric_columns(df) == ["i", "d"]
     assert categorical_columns(df) == ["b", "s", "t"]
     with pytest.raises(ValueError):
@@ -150,13 +150,47 @@ def test_preview_shows_null(spark):
 def test_correlation(spark):
     df = spark.createDataFrame([(1.0, 5.0, None), (2.0, 5.0, 4.0), (4.0, 5.0, 6.0), (8.0, 5.0, 9.0)],
                                "a double, b double, c double")
-    for pairs in (100, 0):
-        r = {(x["col_a"], x["col_b"]): x["r"] for x in correlation_matrix(df, max_aggregate_pairs=pairs).collect()}
-        assert r["a", "c"] == pytest.approx(0.997176, abs=1e-6) == r["c", "a"]
-        assert r["a", "a"] == 1 and r["b", "b"] is None and r["a", "b"] is None
+    r = {(x["col_a"], x["col_b"]): x["r"] for x in correlation_matrix(df).collect()}
+    assert r["a", "c"] == pytest.approx(0.997176, abs=1e-6) == r["c", "a"]
+    assert r["a", "a"] == 1 and r["b", "b"] is None and r["a", "b"] is None
     assert correlation_matrix(spark.createDataFrame([("a",)], "s string")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_correlation_does_not_depend_on_other_columns(spark, parts):
+    """Gaps, a huge cell where the partner is missing, far means, a column constant where shared, and an empty one."""
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame(rng.normal(size=(60, 6)), columns=list("abcdef"))
+    data["b"] = data["a"] * 0.9 + data["b"] * 0.1
+    data.loc[7, "a"], data.loc[7, "b"] = 1e12, np.nan
+    data["c"] += 1e9
+    data.loc[::3, "d"] = np.nan
+    data["e"] = np.where(data.index % 3 == 0, data["e"], 4.5)
+    data["f"] = np.nan
+    df = spark.createDataFrame(data.astype(object).where(data.notna(), None), ", ".join(f"{c} double" for c in data)).repartition(parts)
+    want = data.corr()
+    narrow = {(r["col_a"], r["col_b"]): r["r"] for r in correlation_matrix(df, ["a", "b"]).collect()}
+    wide = {(r["col_a"], r["col_b"]): r["r"] for r in correlation_matrix(df).collect()}
+    assert narrow["a", "b"] == pytest.approx(wide["a", "b"], abs=1e-12) == pytest.approx(want.loc["a", "b"], abs=1e-9)
+    for (x, y), r in wide.items():
+        if "f" in (x, y) or {x, y} == {"d", "e"}:
+            assert r is None, (x, y)
+        else:
+            assert r == pytest.approx(want.loc[x, y], abs=1e-6), (x, y)
+
+
+def test_profile_checks_labels_and_keeps_columns(spark):
+    rows = spark.createDataFrame([(1, 2.0, 7), (2, 4.0, 8), (3, 9.0, 9)], "id long, x double, row_id int")
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "id long, label int")
+    with pytest.raises(Exception, match="no label for key 3"):
+        cluster_profile(rows, labels, "id").collect()
+    assert [tuple(r) for r in cluster_profile(rows, labels, "id", unlabelled="skip").collect()] == [(0, 3.0, 7.5)]
+    with pytest.raises(Exception, match="more than one label for key 1"):
+        cluster_profile(rows, labels.union(labels), "id").collect()
+    named = spark.createDataFrame([(0, 1.0)], "label int, cluster double")
+    assert cluster_profile(named).columns == ["cluster", "cluster_mean"]
+
+
 def test_profile_rounds_half_even(spark):
     df = spark.createDataFrame([(1, 0.0, 9), (1, 0.25, 9)], "label int, x double, Cluster int")
     assert [tuple(r) for r in cluster_profile(df).collect()] == [(1, 0.12)]

@@ -213,3 +213,33 @@ def test_agglomerative_limits(spark):
         agglomerative(df, max_pairs=4)
     with pytest.raises(ValueError):
         agglomerative(df, "centroid")
+
+
+# -- one answer, however it is computed ---------------------------------------------------------
+
+def test_fit_does_not_depend_on_the_other_k(spark):
+    x = np.random.default_rng(5).normal(size=(300, 3))
+    df = frame(spark, x)
+    alone = kmeans_many(df, [6], [42])[42, 6]
+    among = kmeans_many(df, range(2, 11), [42])
+    assert np.array_equal(alone.centres, among[42, 6].centres) and alone.inertia == among[42, 6].inertia
+    assert sorted(among) == [(42, k) for k in range(2, 11)]
+
+
+def test_fit_does_not_depend_on_input_splits(spark):
+    x = np.random.default_rng(6).normal(size=(400, 2))
+    fits = [kmeans(frame(spark, x).repartition(p), 5) for p in (1, 3, 8)]
+    for fit in fits[1:]:
+        assert fit.centres == pytest.approx(fits[0].centres) and fit.inertia == pytest.approx(fits[0].inertia)
+
+
+@pytest.mark.parametrize("linkage", ["ward", "single"])
+def test_cut_splits_copies(spark, linkage):
+    x = [[0.0], [5.0], [0.0], [9.0], [5.0], [0.0]]
+    tree = agglomerative(frame(spark, x), linkage)
+    got = {r["row_id"]: tuple(r)[-4:] for r in tree.cut([2, 3, 4, 6]).select("row_id", "k2", "k3", "k4", "k6").collect()}
+    assert [got[i][1] for i in range(6)] == [0, 1, 0, 2, 1, 0]
+    assert [got[i][2] for i in range(6)] == [0, 1, 2, 3, 1, 0]
+    assert [got[i][3] for i in range(6)] == [0, 1, 2, 3, 4, 5]
+    with pytest.raises(ValueError, match="3 distinct points and 3 copies"):
+        tree.cut([7])

@@ -23,8 +23,9 @@ def test_analysis_and_training(spark, groups):
     curves = report.analysis.curves
     assert curves.count() == 2 * 9 * 7
     tables = report.tables
-    assert set(tables) == {"shape", "processed_data", "k_metrics_detail", "voting_history", "metrics",
-                           "profile_kmeans", "profile_hierarchical"}
+    assert set(tables) == {"shape", "processed_data", "k_metrics_detail", "voting_history", "metrics", "k_curves",
+                           "correlation", "projection", "profile_kmeans", "profile_hierarchical"}
+    assert tables["correlation"].count() == 9 and tables["k_curves"].count() == 2 * 9 * 7
     assert {r["model"] for r in tables["metrics"].collect()} == {"K-Means", "Hierarchical"}
     labels = report.result.labels.toPandas()
     assert len(labels) == 120 and labels["row_id"].is_unique
@@ -66,3 +67,27 @@ def test_batch_records_failures(spark, groups, tmp_path):
     assert spark.read.option("header", True).csv(paths["metrics"]).count() == 2
     with pytest.raises(ValueError):
         analyze_batch(spark, {"few": spark.read.csv(str(bad), header=True, inferSchema=True)}, Settings(), fail_fast=True)
+
+
+def test_small_answers_and_reserved_names(spark):
+    """Three yes/no columns have eight distinct rows, and K goes to ten; columns are named like the models."""
+    rows = [(i % 2, i // 2 % 2, i // 4 % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "kmeans int, hierarchical int, micro int")
+    report = analyze(df, Settings(remove_outliers=False))
+    profile = report.tables["profile_kmeans"]
+    assert profile.columns == ["cluster", "kmeans", "hierarchical", "micro"] and profile.count() == report.analysis.kmeans_k
+    assert report.tables["projection"].columns[:3] == ["row_id", "kmeans", "hierarchical"]
+
+
+def test_empty_column_is_named(spark):
+    df = spark.createDataFrame([(float(i), None) for i in range(30)], "a double, gone double")
+    with pytest.raises(ValueError, match="'gone'"):
+        analyze(df)
+
+
+def test_batch_keeps_the_whole_error(spark):
+    class Odd(dict):
+        def __getitem__(self, name):
+            raise KeyError() if name == "silent" else ValueError("first line\nsecond line")
+    done = analyze_batch(spark, Odd({"silent": None, "loud": None}), Settings())
+    assert {r["dataset"]: r["error"] for r in done.status.collect()} == {"silent": "KeyError()", "loud": "first line\nsecond line"}

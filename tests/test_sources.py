@@ -40,10 +40,29 @@ def test_header_names(spark, tmp_path):
     assert tuple(df.first()) == (1, 2, 3, 4)
 
 
-def test_ragged_row_fails(spark, tmp_path):
+def test_ragged_rows(spark, tmp_path):
     path = put(tmp_path, "r.csv", "a,b\n1,2\n1,2,3\n")
     with pytest.raises(Exception):
         load_csv(spark, path).collect()
+    with pytest.raises(Exception):
+        load_csv(spark, path).select("a").collect()
+    short = load_csv(spark, put(tmp_path, "s.csv", "a,b,c\n1,2,3\n4\n5,6\n"))
+    assert sorted(map(tuple, short.collect())) == [(1, 2, 3), (4, None, None), (5, 6, None)]
+
+
+def test_a_blank_is_a_cell(spark, tmp_path):
+    path = put(tmp_path, "b.csv", "a,b\n1, \n2,x\n")
+    assert [r["b"] for r in load_csv(spark, path).collect()] == [" ", "x"]
+
+
+def test_folder_matches_columns_by_name(spark, tmp_path):
+    put(tmp_path, "one/t.csv", "a,b\n1,x\n")
+    put(tmp_path, "two/t.csv", "b,a\nz,3\n")
+    rows = load_csv_tables(spark, str(tmp_path)).select("a", "b").collect()
+    assert sorted(map(tuple, rows)) == [(1, "x"), (3, "z")]
+    put(tmp_path, "three/t.csv", "a,c\n1,2\n")
+    with pytest.raises(ValueError, match="three"):
+        load_csv_tables(spark, str(tmp_path))
 
 
 def test_folder(spark, tmp_path):

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from shoal.functions.columns import (as_double, categorical_columns, col, numeric_columns,
                                      require_columns)
-from shoal.operators.statistics import ColumnStats, column_stats, exact_medians
+from shoal.operators.statistics import MEDIAN_ROWS, ColumnStats, column_stats, exact_medians
 from shoal.session import materialise
 
 IMPUTERS = ("mean", "median", "drop")
 SCALERS = ("standard", "minmax")
+#: Fixed value: what fills a text column without any value.
 MISSING = "Missing"
 
 # A vocabulary within both bounds is small enough to send to every executor.
@@ -86,12 +87,13 @@ def modes(counts: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     return {n: found.get(n, MISSING) for n in cols}
 
 
-def numeric_fills(df: DataFrame, stats: Mapping[str, ColumnStats], method: str) -> dict[str, float | None]:
+def numeric_fills(df: DataFrame, stats: Mapping[str, ColumnStats], method: str,
+                  median_rows: int = MEDIAN_ROWS) -> dict[str, float | None]:
     """Fill value of each numeric column that has a missing cell."""
     gaps = {n: s for n, s in stats.items() if s.count < s.rows}
     if method == "mean":
         return {n: s.mean for n, s in gaps.items()}
-    return exact_medians(df, {n: s.count for n, s in gaps.items()})
+    return exact_medians(df, {n: s.count for n, s in gaps.items()}, median_rows)
 
 
 def fill_expression(df: DataFrame, name: str, fills: Mapping[str, object], numeric: bool) -> Column:
@@ -103,17 +105,19 @@ def fill_expression(df: DataFrame, name: str, fills: Mapping[str, object], numer
     return F.coalesce(col(name).cast("string"), F.lit(fills[name]))
 
 
-def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = None) -> DataFrame:
+def impute(df: DataFrame, method: str = "mean", cols: Sequence[str] | None = None,
+           median_rows: int = MEDIAN_ROWS) -> DataFrame:
     """Fill numeric gaps with the column's mean or exact median and the others with the mode.
 
-    A numeric column without any value stays empty; any other one becomes ``Missing``.
+    A numeric column without any value stays empty; any other one becomes ``Missing``. Beyond
+    ``median_rows`` values the median is narrowed down instead of sorted out; it is the same one.
     """
     if method not in ("mean", "median"):
         raise ValueError(f"impute method must be 'mean' or 'median', not {method!r}")
     names = require_columns(df, cols) if cols is not None else df.columns
     numeric = [n for n in numeric_columns(df) if n in names]
     other = [n for n in categorical_columns(df.select(*[col(n) for n in names]))]
-    fills: dict[str, object] = dict(numeric_fills(df, column_stats(df, numeric), method))
+    fills: dict[str, object] = dict(numeric_fills(df, column_stats(df, numeric), method, median_rows))
     if other:
         fills.update(modes(value_counts(df, other), other))
     return df.select(*[fill_expression(df, n, fills, n in numeric).alias(n) for n in df.columns])
@@ -133,8 +137,8 @@ def build_vocabulary(counts: DataFrame, window_values: int = WINDOW_VALUES) -> D
     total = counts.count()
     spark = counts.sparkSession
     if total <= window_values:
-        return counts.selectExpr(
-            "*", "cast(row_number() over (partition by column order by value) - 1 as bigint) as code")
+        return materialise(counts.selectExpr(
+            "*", "cast(row_number() over (partition by column order by value) - 1 as bigint) as code"), "vocabulary")
     ranges = max(2, math.ceil(total / window_values) * 2,
                  spark.sparkContext.defaultParallelism)
     ranged = materialise(
@@ -202,7 +206,8 @@ class Vocabulary:
 
 
 def fit_vocabulary(counts: DataFrame, cols: Sequence[str], fill_gaps: bool,
-                   max_values: int = BROADCAST_VALUES) -> tuple[Vocabulary, dict[str, str]]:
+                   max_values: int = BROADCAST_VALUES,
+                   window_values: int = WINDOW_VALUES) -> tuple[Vocabulary, dict[str, str]]:
     """Number the counted values; with ``fill_gaps`` missing cells count as the column's mode.
 
     Returns the vocabulary and the fills. Few values come to the driver once and are numbered
@@ -217,7 +222,7 @@ def fit_vocabulary(counts: DataFrame, cols: Sequence[str], fill_gaps: bool,
             filled = F.coalesce(F.col("value"), F.element_at(names, F.col("column")))
             counts = (counts.select("column", filled.alias("value"), "n")
                       .groupBy("column", "value").agg(F.sum("n").alias("n")))
-        table = build_vocabulary(counts)
+        table = build_vocabulary(counts, window_values)
         return Vocabulary(table, vocabulary_sizes(table), code_stats(table)), fills
     head = counts.toArrow()
     seen: dict[str, dict[str | None, int]] = {n: {} for n in cols}
@@ -271,21 +276,23 @@ def code_stats(vocab: DataFrame) -> dict[str, ColumnStats]:
     return out
 
 
-def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def label_encode(df: DataFrame, cols: Sequence[str] | None = None, max_values: int = BROADCAST_VALUES,
+                 window_values: int = WINDOW_VALUES) -> tuple[DataFrame, DataFrame]:
     """Replace the values of each column by their rank among the sorted distinct texts.
 
     Returns the encoded table and the vocabulary ``(column, value, n, code)``. A missing cell
-    counts as the text ``nan``.
+    counts as the text ``nan``. The same codes come out whether a vocabulary is broadcast (up to
+    ``max_values``) or joined, and numbered by one window (up to ``window_values``) or by ranges.
     """
     names = require_columns(df, cols) if cols is not None else categorical_columns(df)
     if not names:
         return df, df.sparkSession.createDataFrame([], "column string, value string, n long, code long")
     texts = {n: F.coalesce(col(n).cast("string"), F.lit("nan")) for n in names}
     counts = value_counts(df.select(*[texts[n].alias(n) for n in names]), names)
-    vocab, _ = fit_vocabulary(counts, names, fill_gaps=False)
+    vocab, _ = fit_vocabulary(counts, names, False, max_values, window_values)
     rows = next(iter(vocab.stats.values())).rows if vocab.stats else 0
     columns = df.columns
-    joined, codes = apply_vocabulary(df, vocab.table, texts, vocab.sizes, rows)
+    joined, codes = apply_vocabulary(df, vocab.table, texts, vocab.sizes, rows, max_values)
     return joined.select(*[codes.get(n, col(n)).alias(n) for n in columns]), vocab.table
 
 

@@ -17,6 +17,7 @@ from shoal.operators.pca import pca, projection  # noqa: E402
 from shoal.operators.quality import (  # noqa: E402
     calinski_harabasz, davies_bouldin, score, silhouette)
 from shoal.operators.statistics import cluster_profile, correlation_matrix  # noqa: E402
+from shoal.session import release  # noqa: E402
 from shoal.plans.analyze_k import analyze_k, k_sweep  # noqa: E402
 from shoal.plans.batch import analyze_batch, analyze_folder  # noqa: E402
 from shoal.plans.preprocess import Preprocessed, preprocess  # noqa: E402
@@ -31,5 +32,5 @@ __all__ = [
     "cluster_profile", "compress", "consensus", "correlation_matrix", "davies_bouldin", "drop_columns",
     "drop_missing", "impute", "infer_types", "k_detail", "k_sweep", "kmeans", "kmeans_many", "kneedle",
     "label_encode", "lloyd", "load_csv", "load_csv_folder", "load_csv_tables", "pca", "preprocess",
-    "preview", "projection", "read_results", "run_clustering", "scale", "score", "shape_summary",
+    "preview", "projection", "read_results", "release", "run_clustering", "scale", "score", "shape_summary",
     "silhouette", "voting_history", "weighted_vote", "write_results", "zscore_filter"]

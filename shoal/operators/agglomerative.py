@@ -300,7 +300,7 @@ def _merge_rounds(base: dict, centre: np.ndarray, last_clusters: int, block_rows
             found = found.select("cid", "other", "rank", "height")
             nearest = materialise(found if known is None else found.unionByName(known), "nearest")
         clusters = _clusters(items, linkage)
-        merged = (_closest if noisy else _mutual)(nearest, clusters, step)
+        merged = materialise((_closest if noisy else _mutual)(nearest, clusters, step), "merged")
         touched = merged.select(F.explode(F.array("a", "b")).alias("cid"))
         known_next = nearest.join(touched, "cid", "left_anti").join(
             touched.withColumnRenamed("cid", "other"), "other", "left_anti").select(

@@ -25,8 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str = "table") -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/shoal/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, below the application's own folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/shoal/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete what this application wrote to the shared folder; results that still read it must be saved before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -86,3 +86,11 @@ def test_results(spark, tmp_path, format):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     with pytest.raises(Exception):
         write_results({"t": df}, str(tmp_path / "run"), format)
+
+
+def test_release_deletes_what_the_application_wrote(spark):
+    from shoal.session import materialise, release
+    kept = materialise(spark.range(3))
+    assert kept.count() == 3 and release(spark) and not release(spark)
+    with pytest.raises(Exception):
+        kept.select("id").collect()

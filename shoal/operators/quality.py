@@ -14,14 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.functions.arrays import distances, lists, matrix
 from shoal.functions.columns import col, require_columns
 from shoal.session import materialise
 
-# Exact silhouette compares all distinct points: refuse beyond this many pairs.
+# Exact silhouette compares all distinct points; the caller may refuse beyond some number of pairs.
 MAX_PAIRS: int | None = None
 # Points per block of the pair grid and per distance tile, and sums per strip of points: the
 # partial sums of a strip meet in one task, one from every block.
@@ -95,13 +95,14 @@ def _centres(rows: DataFrame, labels: Sequence[str]) -> dict[str, Clusters]:
 
     schema = "model int, cluster bigint, n double, total array<double>"
     total = Summarizer.metrics("sum").summary(array_to_vector("total"))
-    found = (rows.mapInArrow(partial, schema).groupBy("model", "cluster")
-             .agg(F.sum("n").alias("n"), vector_to_array(total["sum"]).alias("total")).collect())
-    if not found:
+    grouped = materialise(rows.mapInArrow(partial, schema).groupBy("model", "cluster")
+                          .agg(F.sum("n").alias("n"), vector_to_array(total["sum"]).alias("total")), "centres")
+    extent = grouped.agg(F.count(F.lit(1)).alias("clusters"), F.max(F.size("total")).alias("width")).first()
+    if not extent["clusters"]:
         raise ValueError("no rows to score")
-    width = len(found[0]["total"])
-    if len(found) * width > MAX_CENTRE_VALUES:
-        raise ValueError(f"{len(found)} clusters of {width} features are too many to compare")
+    if extent["clusters"] * extent["width"] > MAX_CENTRE_VALUES:
+        raise ValueError(f"{extent['clusters']} clusters of {extent['width']} features are too many to compare")
+    found = grouped.collect()
     out = {}
     for m, name in enumerate(labels):
         mine = sorted((r for r in found if r["model"] == m), key=lambda r: r["cluster"])
@@ -144,14 +145,40 @@ def _spreads(rows: DataFrame, labels: Sequence[str],
     return {n: (far / clusters[n].sizes, square) for n, (far, square) in out.items()}
 
 
-def _davies_bouldin(c: Clusters, spread: np.ndarray) -> float:
-    _need_clusters(c)
-    between = distances(c.centres - c.centres.mean(0), c.centres - c.centres.mean(0))
-    np.fill_diagonal(between, 0.0)
-    if np.allclose(spread, 0) or np.allclose(between, 0):
-        return 0.0
-    between[between == 0] = np.inf
-    return float(((spread[:, None] + spread[None, :]) / between).max(1).mean())
+def _davies_bouldin(spark: SparkSession, clusters: Mapping[str, Clusters],
+                    spreads: Mapping[str, np.ndarray]) -> dict[str, float]:
+    """Mean over the clusters of the worst ratio of spreads to distance, tile by tile in tasks."""
+    names = list(clusters)
+    for c in clusters.values():
+        _need_clusters(c)
+    tables = [(clusters[n].centres - clusters[n].centres.mean(0), spreads[n]) for n in names]
+    tiles = [(m, at) for m, (x, _) in enumerate(tables) for at in range(0, len(x), TILE_ROWS)]
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(0).to_pylist():
+                m, at = tiles[t]
+                x, spread = tables[m]
+                tile = slice(at, at + TILE_ROWS)
+                between = distances(x[tile], x)
+                own = np.arange(len(between))
+                between[own, at + own] = 0.0
+                far = float(between.max())
+                between[between == 0] = np.inf
+                out.append((m, float(((spread[tile, None] + spread[None, :]) / between).max(1).sum()), far))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.float64()),
+                                              pa.array([o[2] for o in out], pa.float64())], names=["model", "total", "far"])
+
+    parts = min(len(tiles), 8 * spark.sparkContext.defaultParallelism)
+    found = (spark.range(0, len(tiles), 1, parts).mapInArrow(ratios, "model int, total double, far double")
+             .groupBy("model").agg(F.sum("total").alias("total"), F.max("far").alias("far")).collect())
+    out = {}
+    for r in found:
+        x, spread = tables[r["model"]]
+        apart = not (np.allclose(spread, 0) or np.isclose(r["far"], 0))
+        out[names[r["model"]]] = r["total"] / len(x) if apart else 0.0
+    return out
 
 
 def _calinski_harabasz(c: Clusters, square: np.ndarray) -> float:
@@ -326,7 +353,8 @@ def score(df: DataFrame, labels: Sequence[str], features: str = "features", weig
         found = {r["model"]: r["s"] for r in scored.groupBy("model").agg(mean.alias("s")).collect()}
     elif silhouette is not None:
         raise ValueError(f"silhouette must be 'exact' or None, not {silhouette!r}")
-    table = [(name, found.get(name), _davies_bouldin(clusters[name], spreads[name][0]),
+    worst = _davies_bouldin(df.sparkSession, clusters, {n: spreads[n][0] for n in labels})
+    table = [(name, found.get(name), worst[name],
               _calinski_harabasz(clusters[name], spreads[name][1])) for name in labels]
     return df.sparkSession.createDataFrame(
         table, "model string, silhouette double, davies_bouldin double, calinski_harabasz double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoal.operators.agglomerative import agglomerative
 from shoal.operators.cleaning import impute, label_encode
 from shoal.operators.kmeans import kmeans, kmeans_many
+from shoal.operators.quality import score
 from shoal.operators.statistics import correlation_matrix
 from shoal.plans.analyze_k import analyze_k
 from shoal.plans.train import run_clustering
@@ -76,6 +77,19 @@ def scan_folder_headers(spark, sf_dir):
         F.round(F.sum("l_discount"), 2).alias("discount"), F.sum("l_linenumber").alias("lines"))
 
 
+_MANY_SQL = "SELECT [p_size::DOUBLE, p_retailprice / 10] AS f, p_partkey // 5 AS label FROM part"
+
+
+@query("quality_many", f"""WITH {moments_sql(_MANY_SQL)}
+SELECT 'label' AS model, {rounded_sql('davies_bouldin')} AS davies_bouldin, {rounded_sql('calinski_harabasz')} AS calinski_harabasz FROM db, ch""")
+def quality_many(spark, sf_dir):
+    """Indices of a labeling with a cluster for every five parts."""
+    rows = table(spark, sf_dir, "part").select(
+        F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double") / 10).alias("features"),
+        F.expr("CAST(p_partkey DIV 5 AS INT)").alias("label"))
+    return round_columns(score(rows, ["label"], silhouette=None).drop("silhouette"))
+
+
 # -- groups far apart ------------------------------------------------------------------------------------
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

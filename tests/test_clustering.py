@@ -243,3 +243,15 @@ def test_cut_splits_copies(spark, linkage):
     assert [got[i][3] for i in range(6)] == [0, 1, 2, 3, 4, 5]
     with pytest.raises(ValueError, match="3 distinct points and 3 copies"):
         tree.cut([7])
+
+
+def test_davies_bouldin_in_tiles(spark, monkeypatch):
+    from shoal.operators import quality
+    monkeypatch.setattr(quality, "TILE_ROWS", 5)
+    rng = np.random.default_rng(8)
+    x, label = rng.normal(size=(90, 3)) + 100, np.arange(90) % 23
+    got = score(frame(spark, x, label=label), ["label"], silhouette=None).first()
+    assert got["davies_bouldin"] == pytest.approx(ref.davies_bouldin(x, label))
+    monkeypatch.setattr(quality, "MAX_CENTRE_VALUES", 68)
+    with pytest.raises(ValueError, match="23 clusters of 3 features"):
+        score(frame(spark, x, label=label), ["label"], silhouette=None)

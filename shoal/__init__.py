@@ -20,6 +20,7 @@ from shoal.operators.statistics import cluster_profile, correlation_matrix  # no
 from shoal.session import release  # noqa: E402
 from shoal.plans.analyze_k import analyze_k, k_sweep  # noqa: E402
 from shoal.plans.batch import analyze_batch, analyze_folder  # noqa: E402
+from shoal.plans.grouped import preprocess_groups  # noqa: E402
 from shoal.plans.preprocess import Preprocessed, preprocess  # noqa: E402
 from shoal.plans.report import Report, Settings, analyze  # noqa: E402
 from shoal.plans.train import run_clustering  # noqa: E402
@@ -31,6 +32,6 @@ __all__ = [
     "analyze_folder", "analyze_k", "assemble", "assign_nearest", "best_k", "calinski_harabasz",
     "cluster_profile", "compress", "consensus", "correlation_matrix", "davies_bouldin", "drop_columns",
     "drop_missing", "impute", "infer_types", "k_detail", "k_sweep", "kmeans", "kmeans_many", "kneedle",
-    "label_encode", "lloyd", "load_csv", "load_csv_folder", "load_csv_tables", "pca", "preprocess",
+    "label_encode", "lloyd", "load_csv", "load_csv_folder", "load_csv_tables", "pca", "preprocess", "preprocess_groups",
     "preview", "projection", "read_results", "release", "run_clustering", "scale", "score", "shape_summary",
     "silhouette", "voting_history", "weighted_vote", "write_results", "zscore_filter"]

@@ -164,6 +164,11 @@ def _davies_bouldin(spark: SparkSession, clusters: Mapping[str, Clusters],
                 between = distances(x[tile], x)
                 own = np.arange(len(between))
                 between[own, at + own] = 0.0
+                # rounding hides whether close centres coincide: take these distances from the differences
+                close = np.argwhere(between < 1e-6 * (np.sqrt((x * x).sum(1).max()) + 1e-300))
+                for a in range(0, len(close), TILE_ROWS):
+                    i, j = close[a:a + TILE_ROWS].T
+                    between[i, j] = np.sqrt(((x[at + i] - x[j]) ** 2).sum(1))
                 far = float(between.max())
                 between[between == 0] = np.inf
                 out.append((m, float(((spread[tile, None] + spread[None, :]) / between).max(1).sum()), far))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shoal.operators.agglomerative import agglomerative
 from shoal.plans.analyze_k import analyze_k, k_sweep
 from shoal.plans.batch import analyze_folder
+from shoal.plans.grouped import preprocess_groups
 from shoal.plans.preprocess import preprocess
 from shoal.plans.report import Settings, analyze
 from shoal.plans.train import run_clustering
@@ -166,17 +167,10 @@ SELECT dataset, l_orderkey, {shown} FROM scaled"""
 
 @query("batch_preprocess", _batch_sql())
 def batch_preprocess(spark, sf_dir):
-    """The same preprocessing on one dataset per return flag."""
+    """The same preprocessing on one dataset per return flag, all in one job."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", *_BATCH)
-    flags = sorted(r[0] for r in lines.select("l_returnflag").distinct().collect())
-    parts = []
-    for flag in flags:
-        mine = lines.filter(F.col("l_returnflag") == flag).drop("l_returnflag")
-        parts.append(preprocess(mine, key="l_orderkey").features.select(F.lit(flag).alias("dataset"), "*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return round_columns(out)
+    found = preprocess_groups(lines, "l_returnflag", key="l_orderkey")
+    return round_columns(found.withColumnRenamed("l_returnflag", "dataset"))
 
 
 @query("batch_run")
@@ -185,7 +179,7 @@ def batch_run(spark, sf_dir):
     folder = scratch_path(spark, "batch")
     (table(spark, sf_dir, "supplier").drop("s_name", "s_suppkey")
      .withColumn("side", F.when(F.col("s_acctbal") < 4500, "low").otherwise("high"))
-     .repartition(1, "side").write.partitionBy("side").option("header", True).csv(folder))
+     .write.partitionBy("side").option("header", True).csv(folder))
     done = analyze_folder(spark, folder, Settings(n_trials=1))
     return done.status.select(F.regexp_extract("dataset", "/side=([^/]+)/", 1).alias("dataset"), "status",
                               "error", "kmeans_k", "hierarchical_k")

@@ -77,7 +77,7 @@ def scan_folder_headers(spark, sf_dir):
         F.round(F.sum("l_discount"), 2).alias("discount"), F.sum("l_linenumber").alias("lines"))
 
 
-_MANY_SQL = "SELECT [p_size::DOUBLE, p_retailprice / 10] AS f, p_partkey // 5 AS label FROM part"
+_MANY_SQL = "SELECT [p_size::DOUBLE, p_partkey / 10] AS f, p_partkey // 5 AS label FROM part"
 
 
 @query("quality_many", f"""WITH {moments_sql(_MANY_SQL)}
@@ -85,7 +85,7 @@ SELECT 'label' AS model, {rounded_sql('davies_bouldin')} AS davies_bouldin, {rou
 def quality_many(spark, sf_dir):
     """Indices of a labeling with a cluster for every five parts."""
     rows = table(spark, sf_dir, "part").select(
-        F.array(F.col("p_size").cast("double"), F.col("p_retailprice").cast("double") / 10).alias("features"),
+        F.array(F.col("p_size").cast("double"), F.col("p_partkey") / 10).alias("features"),
         F.expr("CAST(p_partkey DIV 5 AS INT)").alias("label"))
     return round_columns(score(rows, ["label"], silhouette=None).drop("silhouette"))
 

@@ -252,3 +252,24 @@ def test_vocabulary_paths_agree(spark):
         other = many.stats[name]
         assert (stats.rows, stats.maximum) == (other.rows, other.maximum)
         assert (stats.mean, stats.var_samp) == pytest.approx((other.mean, other.var_samp))
+
+
+@pytest.mark.parametrize("imputer,scaler", [("mean", "standard"), ("drop", "minmax")])
+def test_groups_equal_one_by_one(spark, imputer, scaler):
+    from shoal.plans.grouped import preprocess_groups
+    rng = np.random.default_rng(4)
+    n = 150
+    data = [(["x", "y", None][i % 3], i, None if i % 7 == 0 else float(rng.normal() * 10 + i % 3), 1e6 if i == 20 else float(i % 11),
+             2.5, None if i % 5 == 0 else "pqr"[i % 4 % 3], None if i % 3 == 1 else "s") for i in range(n)]
+    df = spark.createDataFrame(data, "g string, k long, a double, b double, flat double, t string, u string")
+    got = {r["k"]: r for r in preprocess_groups(df, "g", imputer=imputer, scaler=scaler, key="k").collect()}
+    seen = 0
+    for g in ("x", "y", None):
+        mine = df.where(F.col("g").eqNullSafe(F.lit(g))).drop("g")
+        if imputer == "drop" and g == "y":
+            continue  # every row lacks u
+        for r in preprocess(mine, imputer=imputer, scaler=scaler, key="k").features.collect():
+            seen += 1
+            for c in ("a", "b", "flat", "t", "u"):
+                assert got[r["k"]][c] == pytest.approx(r[c], abs=1e-9), (g, r["k"], c)
+    assert seen == len(got)

@@ -7,7 +7,8 @@ candidates, the collision-corrected estimate drops hopeless ones, and the full s
 
 Documents with equal sets form one class first, so that thousands of copies cost one node. Inside
 a band key every member is compared with the smallest; what that leaves in different components
-is then compared block by block on the sketches, and only pairs that may be linked come out.
+is then compared block by block, sketches first and full sets after, and only links that join
+something new come out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from shoal.session import materialise
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 EMPTY = 0xFFFF
-#: Standard error of the estimate at J = 0.85 is 0.03; a pair is dropped unseen only this far below.
+#: Standard error of the estimate at J = 0.8 is 0.035; a pair is dropped unseen only this far below.
 MARGIN = 0.25
 BLOCK = 1024
 
@@ -94,10 +95,14 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(0.99, 2.0 ** -MANTISSA * a * b * terms.sum(axis=-1))
 
 
-def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def corrected(same: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the share of equal registers, less those equal by chance."""
     by_chance = chance(n.astype(float), m.astype(float))
-    return ((left == right).mean(axis=-1) - by_chance) / (1 - by_chance)
+    return (same - by_chance) / (1 - by_chance)
+
+
+def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return corrected((left == right).mean(axis=-1), n, m)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -117,7 +122,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(key, class) for each band of each node."""
+    """(key, band, node) for each band of each node."""
     def run(batches):
         constants = numbers(31, BAND)
         for batch in batches:
@@ -129,35 +134,36 @@ def _bands(nodes: DataFrame) -> DataFrame:
                            + np.arange(REGISTERS // BAND, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C55))
                 rows = np.repeat(np.arange(len(made)), REGISTERS // BAND)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), part.column("class").take(pa.array(rows)),
-                     pa.array(np.tile(np.arange(REGISTERS // BAND, dtype=np.int32), len(made)))], ["key", "class", "band"])
-    return nodes.select("class", "registers").mapInArrow(run, "key long, class binary, band int")
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(REGISTERS // BAND, dtype=np.int32), len(made))),
+                     part.column("node").take(pa.array(rows))], ["key", "band", "node"])
+    return nodes.select("node", "registers").mapInArrow(run, "key long, band int, node long")
+
+
+def _may_link(same: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles with that share of equal registers may reach the threshold; small sets always may."""
+    near = corrected(same, n, m) >= percent / 100 - MARGIN
+    return (near | (np.minimum(n, m) < 64)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
 def _hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose estimate may reach the threshold."""
+    """Pairs (a, b) of nodes whose estimate may reach the threshold."""
     def side(name):
-        return nodes.select(F.col("class").alias(name), F.col("registers").alias(f"{name}_r"), F.col("n_shingles").alias(f"{name}_n"))
+        return nodes.select(F.col("node").alias(name), F.col("registers").alias(f"{name}_r"), F.col("n_shingles").alias(f"{name}_n"))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("a_r", "b_r"))
-                n, m = (part.column(c).to_numpy() for c in ("a_n", "b_n"))
-                fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                keep = fits & ((estimate(left, right, n, m) >= percent / 100 - MARGIN) | (np.minimum(n, m) < 64))
+                keep = _may_link((left == right).mean(axis=1), part.column("a_n").to_numpy(), part.column("b_n").to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
     return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_r", "b_r", "a_n", "b_n")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(run, "a long, b long"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, id_col: str, text_col: str, k: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    first = materialise(nodes.select("class", "doc").join(wanted, "class"), "wanted")
-    bits = bitmap(first, F.xxhash64("doc"))
+def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, shingles): the whole sets of the ``wanted`` nodes (node, class, doc), from one more scan of the texts."""
+    bits = bitmap(wanted, F.xxhash64("doc"))
 
     def sets(batches):
         hasher = WordHasher(fold=True)
@@ -173,70 +179,79 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int
                 ["class", "doc", "shingles"])
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long")).alias("h"),
                        F.col(text_col).cast("string").alias("text")).where(F.col("doc").isNotNull())
-    full = rows.mapInArrow(sets, "class binary, doc long, shingles binary")
-    full = materialise(full.join(first, ["class", "doc"], "left_semi").dropDuplicates(["class"]).select("class", "shingles"), "sets")
+    full = rows.mapInArrow(sets, "class binary, doc long, shingles binary").join(wanted.select("node", "class", "doc"), ["class", "doc"])
+    return full.groupBy("node").agg(F.first("shingles").alias("shingles"))  # a repeated row has the same set
 
+
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of the sorted set ``x`` with each of the others."""
+    sizes = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    place = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    return np.add.reduceat((x[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
     def check(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = int(_shared(x, [y])[0])
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    x = full.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    y = full.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    x = full.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = full.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _rest(bands: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Hopeful pairs of different components inside band keys that the stars left in several components.
+def _rest(shared: DataFrame, roots: DataFrame, nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside the band keys that the stars left in several components.
 
-    A key with many members is cut into blocks, each pair of blocks is a task's unit of work, and a
-    pair is reported by the first of its common bands only.
+    A key with many members is cut into blocks, and each pair of blocks is a task's unit of work. The
+    task looks at a pair in the first of its common bands only, confirms it on the full sets, and reports
+    no link between what it has already joined: at most one per member, however many pairs there are.
     """
-    labelled = bands.join(roots, bands["class"] == roots["node"], "left").select(
-        "key", "band", "class", F.coalesce("root", "class").alias("root"))
-    open_keys = (labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                             F.min("class").alias("centre"))
+    labelled = shared.join(roots, shared["node"] == roots["of"], "left").select("key", "band", "node", "a", F.coalesce("root", "node").alias("root"))
+    open_keys = (labelled.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
                  .where((F.col("m") > 2) & (F.col("lo") != F.col("hi"))))
-    members = labelled.join(open_keys.select("key", "m", "centre"), "key").where(F.col("class") != F.col("centre"))
+    members = labelled.join(open_keys.select("key", "m"), "key").where(F.col("node") != F.col("a"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = (members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    members = (members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .join(nodes.select("class", "registers", "n_shingles"), "class")
+               .join(nodes.select("node", "registers", "n_shingles"), "node").join(full, "node")
                .select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                       "block", "class", "root", "registers", "n_shingles"))
+                       "block", "node", "root", "registers", "n_shingles", "shingles"))
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         band = table.column("band")[0].as_py()
-        table = table.combine_chunks()
-        block = table.column("block").to_numpy()
+        block, node, n = (table.column(c).to_numpy() for c in ("block", "node", "n_shingles"))
         made = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        classes, roots = table.column("class").to_pylist(), table.column("root").to_pylist()
-        number = {r: x for x, r in enumerate(dict.fromkeys(roots))}
-        root = np.array([number[r] for r in roots])
-        n = table.column("n_shingles").to_numpy()
-        rights = np.flatnonzero(block == j)
-        out = []
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        root = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+        rights, out = np.flatnonzero(block == j), []
         for x in np.flatnonzero(block == i):
-            ys = rights[(root[rights] != root[x])]
+            ys = rights[root[rights] != root[x]]
             ys = ys[ys > x] if i == j else ys
             if not len(ys):
                 continue
             same = made[ys] == made[x]
             first = same.reshape(len(ys), -1, BAND).all(axis=2).argmax(axis=1) == band
-            by_chance = chance(n[ys].astype(float), np.full(len(ys), float(n[x])))
-            near = (same.mean(axis=1) - by_chance) / (1 - by_chance) >= percent / 100 - MARGIN
-            near |= np.minimum(n[ys], n[x]) < 64
-            near &= 100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x])
-            out += [(min(classes[x], classes[y]), max(classes[x], classes[y])) for y in ys[first & near]]
-        return pa.table({"a": pa.array([p[0] for p in out], pa.binary()), "b": pa.array([p[1] for p in out], pa.binary())})
-    return members.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+            ys = ys[first & _may_link(same.mean(axis=1), n[ys], np.full(len(ys), n[x]), percent)]
+            if not len(ys):
+                continue
+            both = _shared(sets[x], [sets[y] for y in ys])
+            for y in ys[100 * both >= percent * (n[ys] + n[x] - both)]:
+                if root[y] != root[x]:
+                    root[root == root[y]] = root[x]
+                    out.append((node[x], node[y]))
+        return pa.table({"a": pa.array([int(p[0]) for p in out], pa.int64()), "b": pa.array([int(p[1]) for p in out], pa.int64())})
+    return members.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, k: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
 
     Documents are linked if their sets of ``k``-word shingles have 100 * intersection >= percent * union.
@@ -245,21 +260,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component's id if others are linked with it, else null, and is kept only then. Repeated rows
     (same doc_id) share a component and all say kept. Other columns of ``docs`` are not read.
 
-    Misses: a pair at 0.85 shares none of the 32 bands with probability 6e-11.
+    Misses: a pair at 0.80 shares none of the 32 bands with probability 5e-8, one at 0.85 with 6e-11.
     """
     made = materialise(sketches(docs, id_col, text_col, k), "sketches")
     with_set = made.where(F.col("class").isNotNull() & F.col("doc").isNotNull())
-    nodes = materialise(with_set.groupBy("class").agg(
-        F.min("doc").alias("doc"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles")), "nodes")
-    bands = materialise(_bands(nodes), "bands")
-    centres = bands.groupBy("key").agg(F.min("class").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    stars = bands.join(centres, "key").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
-    links = materialise(_confirmed(_hopeful(stars, nodes, percent), docs, nodes, percent, id_col, text_col, k), "links")
-    roots = components(links)
-    more = _confirmed(_rest(bands, roots, nodes, percent), docs, nodes, percent, id_col, text_col, k)
-    roots = components(links.union(more))
-    labelled = nodes.select("class", "doc").join(roots, F.col("class") == F.col("node"), "left").select(
-        "class", "doc", F.coalesce("root", "class").alias("root"))
+    nodes = materialise(with_set.groupBy("class").agg(  # numbered once, in the written table
+        F.min("doc").alias("doc"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = _bands(nodes)
+    centres = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
+    shared = materialise(bands.join(centres, "key"), "bands")
+    stars = shared.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    pairs = materialise(_hopeful(stars, nodes, percent), "pairs")
+    full = materialise(_full_sets(docs, nodes.join(shared.select("node").distinct(), "node"), id_col, text_col, k), "sets")
+    links = materialise(_confirmed(pairs, full, percent), "links")
+    roots = components(links).withColumnRenamed("node", "of")
+    more = _rest(shared, roots, nodes, full, percent)
+    roots = components(links.union(more)).withColumnRenamed("node", "of")
+    labelled = nodes.join(roots, F.col("node") == F.col("of"), "left").select(
+        "class", "doc", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_class = labelled.join(smallest, "root").select("class", "component_id")
     linked = made.where(F.col("class").isNotNull()).select("doc", "n_shingles", "class").join(of_class, "class", "left")

@@ -22,7 +22,7 @@ def test_stages_on_given_tables(spark, sf_dir, tmp_path):
         if name == "language ID":
             docs = [d for d in docs if any(c.isalpha() for c in d[1] or "")]
         elif name == "near-duplicate removal":
-            kept = {r[0] for r in brute_components(docs) if r[3]}
+            kept = {r[0] for r in brute_components(docs, 80) if r[3]}
             docs = [d for d in docs if d[0] in kept]
         elif name == "benchmark decontamination":
             import re
@@ -54,7 +54,7 @@ def test_stages_survive_awkward_rows(spark, sf_dir):
     language = corpus_pipeline.language_id(spark, docs, sf_dir)
     assert language.columns == corpus_pipeline.COLUMNS
     near = corpus_pipeline.near_dedup(spark, docs, sf_dir)
-    kept = {r[0] for r in brute_components(messy_rows()) if r[3]}
+    kept = {r[0] for r in brute_components(messy_rows(), 80) if r[3]}
     assert sorted((r["doc_id"] for r in near.collect()), key=repr) == sorted(kept, key=repr)
     assert corpus_pipeline.decontamination(spark, docs, sf_dir).count() == len(messy_rows())
     assert corpus_pipeline.secret_scan(spark, docs, sf_dir).count() == len(messy_rows())

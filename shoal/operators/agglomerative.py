@@ -562,7 +562,8 @@ def _attach(tree: Dendrogram, labelled: DataFrame, names: Sequence[str]) -> Data
     rows = tree.rows
     if tree.key == "micro":
         lookup = labelled.select(F.col("pid").cast("int").alias("micro"), *names)
-        return rows.join(F.broadcast(lookup), "micro")
+        small = tree.n_points * (1 + len(names)) <= BROADCAST_CELLS
+        return rows.join(F.broadcast(lookup) if small else lookup, "micro")
     points = tree.points.join(labelled, "pid")
     width = len(tree.points.select("features").first()["features"])
     columns = rows.columns

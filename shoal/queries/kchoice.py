@@ -32,7 +32,7 @@ def line_curves(spark, sf_dir):
 
 def line_inertia(spark, sf_dir):
     """Falling curve per line number: price of the lines of at least 5 (k - 2) units, times tax."""
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
+    lines = table(spark, sf_dir, "lineitem")
     sums = [F.sum(F.when(F.col("l_quantity") >= 5 * (k - 2), F.col("l_extendedprice") / F.col("l_quantity")
                          * F.pow(F.col("l_tax") * 10 + 0.3, F.lit(float(k))))).alias(f"v{k}") for k in _K]
     curve = lines.groupBy(F.col("l_linenumber").alias("trial")).agg(*sums)
@@ -44,7 +44,7 @@ def line_inertia(spark, sf_dir):
 _INERTIA_SQL = " UNION ALL ".join(
     f"SELECT l_linenumber AS trial, 'kmeans' AS model, {k} AS k, sum(CASE WHEN l_quantity >= {5 * (k - 2)} "
     f"THEN l_extendedprice / l_quantity * pow(l_tax * 10 + 0.3, {k}) END) AS value FROM lineitem "
-    f"WHERE l_linestatus = 'O' GROUP BY l_linenumber" for k in _K)
+    f"GROUP BY l_linenumber" for k in _K)
 
 _CURVES_SQL = f"""g AS (SELECT l_linenumber AS trial,
   CASE WHEN l_linestatus = 'O' THEN 'kmeans' ELSE 'hierarchical' END AS model,

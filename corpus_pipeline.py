@@ -24,11 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies; of repeated rows one stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi").select(*COLUMNS)
-    unnamed = F.when(F.col("doc_id").isNull(), F.col("text")).alias("unnamed")  # different texts without id all stay
-    return (one.groupBy("doc_id", unnamed).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-            .select("doc_id", "r.*"))
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"])
+    one = docs.join(kept, same, "left_semi").select(*COLUMNS)
+    return (one.groupBy("doc_id", F.xxhash64("text").alias("h"))
+            .agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(doc, n_shingles, class, registers): class is a digest of the set, null where it is empty."""
+    """(doc, text_hash, n_shingles, class, registers): class is a digest of the set, null where it is empty."""
     def run(batches):
         hasher, probes = WordHasher(fold=True), _probes()
         for part in slices(batches, "text"):
@@ -115,10 +115,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             raw = sets.astype("<u8").tobytes()
             classes = [hashlib.md5(raw[8 * a:8 * b]).digest() if b > a else None for a, b in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.array(np.diff(starts)), pa.array(classes, pa.binary()),
-                 pa.array([r.tobytes() for r in made], pa.binary())], ["doc", "n_shingles", "class", "registers"])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc long, n_shingles long, class binary, registers binary")
+                [part.column("doc"), part.column("text_hash"), pa.array(np.diff(starts)), pa.array(classes, pa.binary()),
+                 pa.array([r.tobytes() for r in made], pa.binary())], ["doc", "text_hash", "n_shingles", "class", "registers"])
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "doc long, text_hash long, n_shingles long, class binary, registers binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -252,13 +253,14 @@ def _rest(shared: DataFrame, roots: DataFrame, nodes: DataFrame, full: DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept).
+    """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept, text_hash).
 
     Documents are linked if their sets of ``k``-word shingles have 100 * intersection >= percent * union.
     ``component_id`` is the smallest doc_id reachable, ``kept`` marks it. Null or wordless texts have
     no shingles and are their own component. A null doc_id never lends its id: such a row takes the
     component's id if others are linked with it, else null, and is kept only then. Repeated rows
-    (same doc_id) share a component and all say kept. Other columns of ``docs`` are not read.
+    (same doc_id) share a component and all say kept. Other columns of ``docs`` are not read; ``text_hash``
+    (xxhash64 of the text) tells apart rows whose doc_id is null or stands for several texts.
 
     Misses: a pair at 0.80 shares none of the 32 bands with probability 5e-8, one at 0.85 with 6e-11.
     """
@@ -281,8 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "class", "doc", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_class = labelled.join(smallest, "root").select("class", "component_id")
-    linked = made.where(F.col("class").isNotNull()).select("doc", "n_shingles", "class").join(of_class, "class", "left")
-    alone = made.where(F.col("class").isNull()).select("doc", "n_shingles", "class", F.col("doc").alias("component_id"))
-    return linked.select("doc", "n_shingles", "class", "component_id").union(alone).select(
+    columns = ["doc", "text_hash", "n_shingles", "component_id"]
+    linked = made.where(F.col("class").isNotNull()).join(of_class, "class", "left").select(*columns)
+    alone = made.where(F.col("class").isNull()).withColumn("component_id", F.col("doc")).select(*columns)
+    return linked.union(alone).select(
         F.col("doc").alias("doc_id"), "n_shingles", "component_id",
-        F.coalesce(F.col("doc") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+        F.coalesce(F.col("doc") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_hash")

@@ -70,7 +70,7 @@ def op4_quality_rules(spark, sf_dir):
 
 @query
 def op5_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 @query

@@ -56,6 +56,7 @@ def test_stages_survive_awkward_rows(spark, sf_dir):
     near = corpus_pipeline.near_dedup(spark, docs, sf_dir)
     kept = {r[0] for r in brute_components(messy_rows(), 80) if r[3]}
     assert sorted((r["doc_id"] for r in near.collect()), key=repr) == sorted(kept, key=repr)
+    assert near.where("doc_id IS NULL AND text IS NOT NULL").count() == 0
     assert corpus_pipeline.decontamination(spark, docs, sf_dir).count() == len(messy_rows())
     assert corpus_pipeline.secret_scan(spark, docs, sf_dir).count() == len(messy_rows())
     for _, stage in corpus_pipeline.STAGES:

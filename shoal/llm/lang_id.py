@@ -143,8 +143,9 @@ def fit_languages(labelled: DataFrame, lang_col: str = "lang", text_col: str = "
                 at = np.flatnonzero(tf)
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32)]), pa.array([tf[at]])], ["lang", "places", "tf"])
-    # exact copies draw the same number: one of each is enough
-    sample = (rows.where(unit < F.element_at(share, F.col("lang"))).mapInArrow(task, "lang string, places array<int>, tf array<float>")
+    # exact copies draw the same number: one of each teaches
+    drawn = rows.where(unit < F.element_at(share, F.col("lang"))).withColumn("h", F.xxhash64("text")).dropDuplicates(["lang", "h"])
+    sample = (drawn.select("lang", "text").mapInArrow(task, "lang string, places array<int>, tf array<float>")
               .orderBy("lang", F.xxhash64("places", "tf")).limit(2 * per_language * len(counts) + 100).toArrow().to_pylist())
     if not sample:
         return None

@@ -27,8 +27,9 @@ from shoal.llm.words import slices
 
 #: Fixed value: the pattern that cuts text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SLICE_BYTES = 16 << 20
-CACHE_RUNS = 400_000
+SLICE_BYTES = 3 << 20
+CACHE_RUNS = 200_000
+CHUNK = 1 << 18
 SHIFT, LOW = 24, (1 << 24) - 1
 
 
@@ -68,15 +69,15 @@ def merge_all(pieces: list[bytes], vocabulary: dict) -> list[bytes]:
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(sizes + 1) - sizes
-    symbols = np.full(len(data) + len(pieces) + 1, -1, np.int64)
-    symbols[np.arange(len(data)) + np.repeat(np.arange(1, len(pieces) + 1), sizes)] = np.array(vocabulary["bytes"], np.int64)[data]
+    symbols = np.full(len(data) + len(pieces) + 1, -1, np.int32)
+    symbols[np.arange(len(data)) + np.repeat(np.arange(1, len(pieces) + 1), sizes)] = np.array(vocabulary["bytes"], np.int32)[data]
     n = len(symbols)
-    left, right = np.arange(-1, n - 1), np.arange(1, n + 1)
+    left, right = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
     index: dict[int, list[np.ndarray]] = {}
     active: list[tuple[int, int]] = []
 
     def enter(first: np.ndarray, second: np.ndarray, places: np.ndarray) -> None:
-        keys = np.where((first >= 0) & (second >= 0), (first << SHIFT) | second, -1)
+        keys = np.where((first >= 0) & (second >= 0), (first.astype(np.int64) << SHIFT) | second, -1)
         known = pair_keys[np.minimum(np.searchsorted(pair_keys, keys), len(pair_keys) - 1)] == keys
         keys, places = keys[known], places[known]
         if not len(keys):
@@ -91,8 +92,9 @@ def merge_all(pieces: list[bytes], vocabulary: dict) -> list[bytes]:
                 index[key] = [found]
                 heapq.heappush(active, (merges[key][0], key))
 
-    if len(pair_keys):
-        enter(symbols[:-1], symbols[1:], np.arange(n - 1))
+    for at in range(0, n - 1 if len(pair_keys) else 0, CHUNK):
+        end = min(at + CHUNK, n - 1)
+        enter(symbols[at:end], symbols[at + 1:end + 1], np.arange(at, end, dtype=np.int32))
     while active:
         pair = heapq.heappop(active)[1]
         found = index.pop(pair)
@@ -106,7 +108,7 @@ def merge_all(pieces: list[bytes], vocabulary: dict) -> list[bytes]:
                 if at != taken:
                     chosen.append(at)
                     taken = after
-            places = np.array(chosen, np.int64)
+            places = np.array(chosen, np.int32)
         if not len(places):
             continue
         dead = right[places]

@@ -2,9 +2,11 @@
 
 The patterns (kinds assign, access and hex) are what any scan must report. On top, a value in a
 credential context (a word such as password, passwd, pwd, secret, token, key, login or bearer, then
-a separator, "is", or an opening quote) is cut into segments by dynamic programming: words of a
-small list, dates, repeats, keyboard walks, sequences, and brute force in between. The cheapest
-segmentation's guesses decide: from ``bits`` on the value is reported as kind cost.
+a separator, "is", or an opening quote; after bearer a blank will do), whatever its length, is cut
+into segments by dynamic programming: words of a small list, dates, repeats, keyboard walks,
+sequences, and brute force in between, over the kinds of characters that the value has. The cheapest
+segmentation's guesses decide: from ``bits`` on the value is reported as kind cost. Letters alone are
+judged after = or : only; elsewhere they are prose.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Where a credential may follow: the context, then its value up to white space, a quote, a bracket, a comma or a semicolon.
 CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key"""
                      r"""|credentials?|login|bearer|authorization|auth)["'\]]{0,2}"""
-                     r"""(?:\x20{0,8}(?::=|=>|[:=])\x20{0,8}|\x20{1,8}is\x20{1,8}|\x20{1,8}(?=["'`]))["'`]?([^\s"'`,;<>()\[\]{}]{8,256})""", re.ASCII)
+                     r"""(?:\x20{0,8}(?P<sign>:=|=>|[:=])\x20{0,8}|\x20{1,8}is\x20{1,8}|\x20{1,8}(?=["'`])|(?<=[bB][eE][aA][rR][eE][rR])\x20{1,8})["'`]?(?P<value>[^\s"'`,;<>()\[\]{}]{8,})""", re.ASCII)
 HINTS = re.compile(rb"pass|pwd|secret|token|key|credential|login|bearer|auth")
 
 #: Words that guessers try first, most likely first.
@@ -46,6 +48,25 @@ def _brute_bits(c: str) -> float:
     return math.log2(10) if c.isdigit() else math.log2(26) if c.isascii() and c.isalpha() else math.log2(33) if c.isascii() else 12.0
 
 
+def alphabet_bits(value: str):
+    """Bits of one unknown character, among all of the kinds of ASCII characters in ``value``."""
+    kinds = (any("a" <= c <= "z" for c in value), any("A" <= c <= "Z" for c in value), any("0" <= c <= "9" for c in value),
+             any(c.isascii() and not c.isalnum() for c in value))
+    bits = math.log2(max(2, sum(n for n, there in zip((26, 26, 10, 33), kinds) if there)))
+    return lambda c: bits if c.isascii() else _brute_bits(c)
+
+
+def _periods(value: str) -> list[list[int]]:
+    """For each block size from 1 to 6 and each place, how many characters from there on equal the one a block later."""
+    out = []
+    for size in range(1, 7):
+        run = [0] * (len(value) + 1)
+        for i in range(len(value) - size - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if value[i] == value[i + size] else 0
+        out.append(run)
+    return out
+
+
 def _walks() -> set[str]:
     rows = [r for k in KEYBOARD for r in (k, k[::-1])] + ["abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "01234567890", "9876543210"]
     return {r[a:b] for r in rows for a in range(len(r)) for b in range(a + 3, len(r) + 1)}
@@ -60,37 +81,35 @@ class GuessCost:
         self.walks = _walks()
         self.longest_walk = max(map(len, self.walks))
 
-    def parts(self, value: str, start: int):
-        """(end, kind, bits) of the guessable parts that begin at ``start``."""
-        low = value.lower()
+    def parts(self, value: str, start: int, brute=_brute_bits, periods: list[list[int]] | None = None):
+        """(end, kind, bits) of the guessable parts that begin at ``start``; the work does not grow with the value, given its periods."""
+        low = value[start:start + max(self.longest, self.longest_walk)].lower()
         plain = low.translate(LEET)
         for end in range(start + 3, min(len(value), start + self.longest) + 1):
-            for form, extra in ((low[start:end], 0.0), (plain[start:end], 1.5)):
+            for form, extra in ((low[:end - start], 0.0), (plain[:end - start], 1.5)):
                 if form in self.words:
                     yield end, "word", self.words[form] + extra + (0.0 if value[start:end] == form else 1.0)
                     break
         for end in range(start + 3, min(len(value), start + self.longest_walk) + 1):
-            if low[start:end] in self.walks:
+            if low[:end - start] in self.walks:
                 yield end, "walk", 5.0 + math.log2(end - start)
         if m := DATE.match(value, start):
             yield m.end(), "date", 8.0 if m.end() - start == 4 else 15.5
-        for size in (1, 2, 3, 4, 5, 6):  # a block, again and again
-            block, end = value[start:start + size], start + size
-            while len(block) == size and value.startswith(block, end):
-                end += size
+        for size, run in enumerate(periods or _periods(value), 1):  # a block, again and again
+            block, end = value[start:start + size], start + size + run[start] // size * size
             if end - start >= max(3, 2 * size):
-                yield end, "repeat", sum(map(_brute_bits, block)) + math.log2((end - start) / size)
+                yield end, "repeat", sum(map(brute, block)) + math.log2((end - start) / size)
 
-    def __call__(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
-        """(log2 of the guesses, segments (start, end, kind)) of the cheapest segmentation."""
-        n = len(value)
+    def __call__(self, value: str, brute=_brute_bits) -> tuple[float, list[tuple[int, int, str]]]:
+        """(log2 of the guesses, segments (start, end, kind)) of the cheapest segmentation; ``brute`` gives the bits of one character."""
+        n, periods = len(value), _periods(value)
         best: list[tuple[float, int, str]] = [(0.0, -1, "")] + [(math.inf, -1, "")] * n
         for at in range(n):
             cost, _, kind = best[at]
-            step = cost + _brute_bits(value[at]) + (1.0 if at and kind != "brute" else 0.0)
+            step = cost + brute(value[at]) + (1.0 if at and kind != "brute" else 0.0)
             if step < best[at + 1][0]:
                 best[at + 1] = (step, at, "brute")
-            for end, what, bits in self.parts(value, at):
+            for end, what, bits in self.parts(value, at, brute, periods):
                 if cost + bits + (at > 0) < best[end][0]:
                     best[end] = (cost + bits + (at > 0), at, what)
         cuts, at = [], n
@@ -120,13 +139,13 @@ def find_spans(text: str, cost: GuessCost, bits: float = SECRET_BITS) -> tuple[l
     most = 0.0
     if hinted:
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".:!?")
-            if len(value) < 8 or not any(c.isdigit() or not c.isalnum() for c in value):
+            value = m["value"].rstrip(".:!?")
+            if len(value) < 8 or not (m["sign"] or any(c.isdigit() or not c.isalnum() for c in value)):
                 continue  # a plain word after a context word is prose
-            guessed = cost(value)[0]
+            guessed = cost(value, alphabet_bits(value))[0]
             most = max(most, guessed)
             if guessed >= bits:
-                spans.append((m.start(1), m.start(1) + len(value), "cost"))
+                spans.append((m.start("value"), m.start("value") + len(value), "cost"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))), most
 
 

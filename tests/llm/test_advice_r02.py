@@ -2,11 +2,14 @@
 
 import collections
 import math
+import random
+import string
 
 import pytest
 
 from shoal.llm import lm_score
 from shoal.llm.lm_score import lm_scores
+from shoal.llm.secrets import GuessCost, find_spans, redacted
 
 
 def cut(text):
@@ -31,3 +34,16 @@ def test_lm_words_beyond_those_sent_count_as_themselves(spark, monkeypatch, hot,
         own, total = collections.Counter(zip(t, t[1:])), sum(uni.values())
         s = [math.log(uni[t[0]] / total)] + [math.log((bi[p] - n) / uni[p[0]] if bi[p] > n else 0.4 * uni[p[1]] / total) for p, n in own.items() for _ in range(n)]
         assert (n_words, n_backoff) == (len(t), sum(n for p, n in own.items() if bi[p] <= n)) and score == pytest.approx(sum(s), abs=1e-4)
+
+
+def test_secrets_of_any_length_and_of_letters():
+    rng, cost = random.Random(5), GuessCost()
+
+    def value(n, signs=string.ascii_letters + string.digits):
+        return "".join(rng.choice(signs) for _ in range(n))
+    for text, secret in [(f'credential = "{v}" end', v) for v in (value(3000), value(257))] + [
+            (f'pwd="{v}"', v) for v in ("QzXvKpLmWrTyHs", "h7!Gk2#L", "q7mzk2xv9t")] + [(f"Authorization: Bearer {v}", v) for v in (value(40), value(400))]:
+        spans = find_spans(text, cost)[0]
+        assert ("cost", secret) in [(k, text[a:b]) for a, b, k in spans] and secret[-6:] not in redacted(text, spans)
+    for text in ("the bearer certificates", "login is international", 'pwd="passwordpassword"', "passphrase: qwertyuiop123456", "pwd=" + "x" * 100_000):
+        assert not find_spans(text, cost)[0]

@@ -1,14 +1,14 @@
-"""Passages repeated across documents, by relative Lempel-Ziv parsing.
+"""Passages repeated across documents, by an exact join of 13-word windows.
 
 The reference of a document is every document with a smaller id. An index maps each window of 13
-words that may repeat to the first document it starts in. Parsing takes, from left to right, the
-longest factor whose windows follow one another in the index with the same source; a factor of one
-window or more (13 words) is a duplicate span. The windows that reach over a factor's end are looked
-up like all others, so a span goes on in the next factor and nothing between two factors is missed.
+words that may repeat to the first document it starts in. Every word covered by a
+window found there is removed. Factors are what the SQL of the query counts: runs of consecutive found
+windows with the same source document. They are not those of a relative Lempel-Ziv parsing: the index
+holds no positions, no factor is extended along its source, and factors decide nothing about removal.
 
 Only windows whose anchor (the smallest hash among their eight runs of six words) occurs twice in
-the corpus are indexed. Each task first settles repeats inside its own block of the reference, so
-that a passage found in a third of all documents reaches the index once per block. Windows are
+the corpus are indexed. Each task first gathers the documents of a window inside its own block, so
+that a passage found in a third of all documents reaches the index as one row per block. Windows are
 64-bit hashes: with 10^12 indexed windows, one in 10^7 might be taken for another.
 """
 

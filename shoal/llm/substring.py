@@ -1,7 +1,7 @@
 """Passages repeated across documents, by an exact join of 13-word windows.
 
 The reference of a document is every document with a smaller id. An index maps each window of 13
-words that may repeat to the first document it starts in. Every word covered by a
+words that may repeat to the smallest document of the corpus it starts in. Every word covered by a
 window found there is removed. Factors are what the SQL of the query counts: runs of consecutive found
 windows with the same source document. They are not those of a relative Lempel-Ziv parsing: the index
 holds no positions, no factor is extended along its source, and factors decide nothing about removal.
@@ -70,7 +70,7 @@ def _shared_anchors(rows: DataFrame, window: int, run: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(doc, h, ref): windows of a document that start in a smaller one, ``ref`` among them."""
+    """(doc, h, ref): windows of a document that also stand in a smaller one; ``ref`` is the smallest of the corpus."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL")
     bits = bitmap(_shared_anchors(rows, window, run), F.col("anchor"), ANCHOR_BITS)
 
@@ -86,17 +86,19 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             h, doc = h[order], doc[order]
             fresh = _heads(h, doc)
             h, doc = h[fresh], doc[fresh]
-            heads = _heads(h)
-            ref = doc[heads][np.cumsum(heads) - 1]
-            back = np.argsort(doc, kind="stable")
-            h, doc, ref = h[back], doc[back], ref[back]
-            for a in range(0, len(h), 1 << 17):
-                z = slice(a, a + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(doc[z]), pa.array(ref[z])], ["h", "doc", "ref"])
-    found = rows.mapInArrow(task, "h long, doc long, ref long")
-    settled = F.when(F.col("doc") > F.col("ref"), F.col("doc"))  # its block has an earlier document: alone in its group
-    index = found.withColumn("ref", F.min("ref").over(Window.partitionBy("h", settled)))
-    return index.where(F.col("ref") < F.col("doc")).select("doc", "h", "ref")
+            heads = np.flatnonzero(_heads(h))
+            ends = np.append(heads[1:], len(h))[:len(heads)]
+            for a in range(0, len(heads), 1 << 16):  # a window of the block, with all its documents there
+                z = slice(a, a + (1 << 16))
+                first, last = heads[z][0], ends[z][-1]
+                offsets = pa.array(np.append(heads[z] - first, last - first).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(h[heads[z]].view(np.int64)), pa.array(doc[heads[z]]),
+                                                  pa.ListArray.from_arrays(offsets, pa.array(doc[first:last]))], ["h", "ref", "docs"])
+    found = rows.mapInArrow(task, "h long, ref long, docs array<long>")
+    # one row per window and block meets the others; its documents travel with it, so all get the same source
+    index = found.withColumn("ref", F.min("ref").over(Window.partitionBy("h"))).where(
+        (F.size("docs") > 1) | (F.col("ref") < F.get("docs", F.lit(0))))
+    return index.select("h", "ref", F.explode("docs").alias("doc")).where(F.col("ref") < F.col("doc")).select("doc", "h", "ref")
 
 
 def parse(h: np.ndarray, known: np.ndarray, refs: np.ndarray, window: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:

@@ -7,9 +7,10 @@ import string
 
 import pytest
 
-from shoal.llm import lm_score
+from shoal.llm import lm_score, substring
 from shoal.llm.lm_score import lm_scores
 from shoal.llm.secrets import GuessCost, find_spans, redacted
+from shoal.llm.substring import remove_repeats
 
 
 def cut(text):
@@ -47,3 +48,13 @@ def test_secrets_of_any_length_and_of_letters():
         assert ("cost", secret) in [(k, text[a:b]) for a, b, k in spans] and secret[-6:] not in redacted(text, spans)
     for text in ("the bearer certificates", "login is international", 'pwd="passwordpassword"', "passphrase: qwertyuiop123456", "pwd=" + "x" * 100_000):
         assert not find_spans(text, cost)[0]
+
+
+@pytest.mark.parametrize("block", [1, 220, 1 << 20])
+def test_factors_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", block)
+    long = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(long + [f"only{i}" for i in range(10)])), (2, " ".join(long[:20])), (3, " ".join(long)), (4, " ".join(long[10:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    got = {r["doc_id"]: (r["n_removed"], r["n_factors"], r["spans"]) for r in remove_repeats(docs).collect()}
+    assert got == {1: (0, 0, ""), 2: (20, 1, "0:20:1"), 3: (40, 1, "0:40:1"), 4: (30, 1, "0:30:1")}

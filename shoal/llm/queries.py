@@ -15,6 +15,7 @@ from shoal.llm.decontaminate import decontaminate
 from shoal.llm.lang_id import fit_languages, held_out, identify
 from shoal.llm.licenses import scan_licenses
 from shoal.llm.lm_score import lm_scores
+from shoal.llm.merkle import tamper_check
 from shoal.llm.near_dedup import near_duplicates
 from shoal.llm.quality import quality
 from shoal.llm.secrets import scan_secrets
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op3_chat_format": oracles.CHAT_FORMAT, "op4_quality_rules": oracles.QUALITY_RULES, "op5_near_dedup": oracles.NEAR_DEDUP,
     "op6_decontaminate": oracles.DECONTAMINATE, "op9_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_lm_score": oracles.LM_SCORE,
+    "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
 VOCABULARY_FILE = "byte_bpe_50k.json"
 
@@ -98,3 +100,9 @@ def op9_substring_dedup(spark, sf_dir):
 @query
 def op10_lm_score(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return tamper_check(table(spark, sf_dir, "documents"), tampered, F.replace("text", F.lit("\n"), F.lit("")))

@@ -132,22 +132,22 @@ _DIGITS = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: C
 MERKLE_MANIFEST = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf,
        CASE WHEN {_crc32(_DIGITS)} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS current FROM documents),
-l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM d),
-n(source, level, at, h, total) AS (SELECT source, 0, at, leaf, count(*) OVER (PARTITION BY source) FROM l
-      UNION ALL SELECT source, level + 1, at // 3, sha256(string_agg(h, '' ORDER BY at)), (any_value(total) + 2) // 3 FROM n WHERE total > 1 GROUP BY source, level, at // 3),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+n(source, level, i, h, total) AS (SELECT source, 0, i, leaf, count(*) OVER (PARTITION BY source) FROM l
+      UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(total) + 2) // 3 FROM n WHERE total > 1 GROUP BY source, level, i // 3),
 s AS (SELECT source, level AS depth, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place FROM n WHERE total = 1),
-m(level, at, h, total) AS (SELECT 0, place, subroot, count(*) OVER () FROM s
-      UNION ALL SELECT level + 1, at // 3, sha256(string_agg(h, '' ORDER BY at)), (any_value(total) + 2) // 3 FROM m WHERE total > 1 GROUP BY level, at // 3),
-a AS (SELECT source, level, at, coalesce(string_agg(h, '' ORDER BY at) OVER (PARTITION BY source, level, at // 3 ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
-             coalesce(string_agg(h, '' ORDER BY at) OVER (PARTITION BY source, level, at // 3 ORDER BY at ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM n WHERE total > 1),
-b AS (SELECT level, at, coalesce(string_agg(h, '' ORDER BY at) OVER (PARTITION BY level, at // 3 ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
-             coalesce(string_agg(h, '' ORDER BY at) OVER (PARTITION BY level, at // 3 ORDER BY at ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM m WHERE total > 1),
-u AS (SELECT 'row' AS kind, source, level, at, l, r FROM a UNION ALL SELECT 'source', NULL, level, at, l, r FROM b),
-f(doc_id, leaf, source, kind, level, at, h, proof) AS (SELECT doc_id, leaf, source, 'row', 0, at, current, '' FROM l
+m(level, i, h, total) AS (SELECT 0, place, subroot, count(*) OVER () FROM s
+      UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(total) + 2) // 3 FROM m WHERE total > 1 GROUP BY level, i // 3),
+a AS (SELECT source, level, i, coalesce(string_agg(h, '' ORDER BY i) OVER (PARTITION BY source, level, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+             coalesce(string_agg(h, '' ORDER BY i) OVER (PARTITION BY source, level, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM n WHERE total > 1),
+b AS (SELECT level, i, coalesce(string_agg(h, '' ORDER BY i) OVER (PARTITION BY level, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+             coalesce(string_agg(h, '' ORDER BY i) OVER (PARTITION BY level, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM m WHERE total > 1),
+u AS (SELECT 'row' AS kind, source, level, i, l, r FROM a UNION ALL SELECT 'source', NULL, level, i, l, r FROM b),
+f(doc_id, leaf, source, kind, level, i, h, proof) AS (SELECT doc_id, leaf, source, 'row', 0, i, current, '' FROM l
       UNION ALL SELECT f.doc_id, f.leaf, f.source, CASE WHEN u.kind IS NULL THEN 'source' ELSE f.kind END, CASE WHEN u.kind IS NULL THEN 0 ELSE f.level + 1 END,
-             CASE WHEN u.kind IS NULL THEN s.place ELSE f.at // 3 END, CASE WHEN u.kind IS NULL THEN f.h ELSE sha256(u.l || f.h || u.r) END, f.proof || coalesce(u.l || u.r, '')
+             CASE WHEN u.kind IS NULL THEN s.place ELSE f.i // 3 END, CASE WHEN u.kind IS NULL THEN f.h ELSE sha256(u.l || f.h || u.r) END, f.proof || coalesce(u.l || u.r, '')
       FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source
-      LEFT JOIN u ON u.kind = f.kind AND u.level = f.level AND u.at = f.at AND (f.kind = 'source' OR u.source IS NOT DISTINCT FROM f.source)
+      LEFT JOIN u ON u.kind = f.kind AND u.level = f.level AND u.i = f.i AND (f.kind = 'source' OR u.source IS NOT DISTINCT FROM f.source)
       WHERE u.kind IS NOT NULL OR f.kind = 'row'),
 e AS (SELECT * FROM f WHERE kind = 'source' QUALIFY row_number() OVER (PARTITION BY doc_id, leaf ORDER BY level DESC) = 1),
 t AS (SELECT h AS root FROM m WHERE total = 1)

@@ -17,6 +17,7 @@ from shoal.llm.licenses import scan_licenses
 from shoal.llm.lm_score import lm_scores
 from shoal.llm.merkle import tamper_check
 from shoal.llm.near_dedup import near_duplicates
+from shoal.llm.pieces import encode_pieces
 from shoal.llm.quality import quality
 from shoal.llm.secrets import scan_secrets
 from shoal.llm.substring import remove_repeats
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
 VOCABULARY_FILE = "byte_bpe_50k.json"
+PIECES_FILE = "piece_bpe_32k.model"
 
 
 def query(run):
@@ -106,3 +108,8 @@ def op10_lm_score(spark, sf_dir):
 def op12_merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     return tamper_check(table(spark, sf_dir, "documents"), tampered, F.replace("text", F.lit("\n"), F.lit("")))
+
+
+@query
+def op13_sentencepiece(spark, sf_dir):
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES_FILE), with_pieces=False)

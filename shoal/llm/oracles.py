@@ -154,3 +154,20 @@ t AS (SELECT h AS root FROM m WHERE total = 1)
 SELECT e.doc_id, e.leaf, s.subroot, t.root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = t.root AS verified
 FROM e JOIN s ON s.source IS NOT DISTINCT FROM e.source CROSS JOIN t
 """
+
+_BYTES = ("flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) >= 192 "
+          "THEN [CAST(195 AS BIGINT), unicode(x) - 64] ELSE [CAST(unicode(x) AS BIGINT)] END))")
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_FOLDED.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, {_crc32(_BYTES)} AS h FROM t WHERE length(run) >= 6 GROUP BY doc_id, run),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM d),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+k AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM k a JOIN k b ON a.less = b.less AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+      UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = k.less UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = k.less),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS best, max(m) AS most FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN best END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n FROM v LEFT JOIN b USING (word)),
+r(word, i) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.i WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.i AS root FROM r JOIN f ON f.word = r.i WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+"""

@@ -20,13 +20,14 @@ from shoal.llm.near_dedup import near_duplicates
 from shoal.llm.pieces import encode_pieces
 from shoal.llm.quality import quality
 from shoal.llm.secrets import scan_secrets
+from shoal.llm.spelling import spelling_variants, word_counts
 from shoal.llm.substring import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op3_chat_format": oracles.CHAT_FORMAT, "op4_quality_rules": oracles.QUALITY_RULES, "op5_near_dedup": oracles.NEAR_DEDUP,
     "op6_decontaminate": oracles.DECONTAMINATE, "op9_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_lm_score": oracles.LM_SCORE,
-    "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
+    "op11_spelling_variants": oracles.SPELLING_VARIANTS, "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
 VOCABULARY_FILE = "byte_bpe_50k.json"
 PIECES_FILE = "piece_bpe_32k.model"
@@ -104,6 +105,11 @@ def op10_lm_score(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0

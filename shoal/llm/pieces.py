@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from shoal.llm.words import slices
 
-CACHE_RUNS = 200_000
+CACHE_RUNS = 250_000  #: runs a generation of a worker's cache holds; there are two
 CACHE_CHARS = 64  #: longer runs are merged anew each time
+SHORT = 48  #: up to here a list of pairs is searched, beyond a heap
+NEVER = float("inf")
 CHUNK = 1 << 20
 # fixed values of the model format: kinds of pieces, the sign for a space
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -175,6 +177,23 @@ class Model:
 
 def merge(run: str, known: dict[str, tuple[float, int]]) -> list[str]:
     """Merge the neighbours whose union has the best score, the leftmost of equals, until no union is a piece."""
+    if len(run) > SHORT:
+        return _merge_long(run, known)
+    parts = list(run)
+    scores = [known[p][0] if (p := a + b) in known else NEVER for a, b in zip(parts, parts[1:])]
+    while scores and (best := min(scores)) < NEVER:
+        i = scores.index(best)
+        parts[i] += parts[i + 1]
+        del parts[i + 1], scores[i]
+        if i < len(scores):
+            scores[i] = known[p][0] if (p := parts[i] + parts[i + 1]) in known else NEVER
+        if i:
+            scores[i - 1] = known[p][0] if (p := parts[i - 1] + parts[i]) in known else NEVER
+    return parts
+
+
+def _merge_long(run: str, known: dict[str, tuple[float, int]]) -> list[str]:
+    """The same with a heap of pairs."""
     n = len(run)
     end = list(range(1, n + 1))  # of the piece that starts here; 0: none does
     start = list(range(n))  # of the piece that ends before the next place
@@ -203,6 +222,7 @@ class PieceEncoder:
     def __init__(self, model: Model):
         self.model = model
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         held = [p.encode() for p in model.pieces]
         self.sizes = np.array([1 if k == BYTE else 0 if k == CONTROL else len(p) for p, k in zip(held, model.kinds)], np.int64)
         self.plain = self.sizes - np.array([2 * p.count(SPACE) if k == NORMAL else 0 for p, k in zip(model.pieces, model.kinds)], np.int64)
@@ -224,16 +244,20 @@ class PieceEncoder:
                 out.append(known[piece][1])
             else:
                 out += [self.model.byte_ids[b] for b in piece.encode()]
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def ids(self, normalised: str) -> np.ndarray:
-        runs, cuts = self.runs, self.cut(normalised)
-        if len(runs) > CACHE_RUNS:
-            runs.clear()
-        for run in set(cuts) - runs.keys():
-            if len(run) <= CACHE_CHARS:
-                runs[run] = self.ids_of(run)
-        return np.frombuffer(b"".join([runs[r] if r in runs else self.ids_of(r) for r in cuts]), "<u4")
+        if len(self.runs) > CACHE_RUNS:
+            self.older, self.runs = self.runs, {}
+        runs, older, out = self.runs, self.older, []
+        for run in self.cut(normalised):
+            got = runs.get(run)
+            if got is None:
+                got = older.get(run) or self.ids_of(run)
+                if len(run) <= CACHE_CHARS:
+                    runs[run] = got
+            out.append(got)
+        return np.frombuffer(b"".join(out), "<u4")
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first original byte, byte after the last) of every piece; the sign put before the text takes no byte."""
@@ -291,6 +315,18 @@ class PieceDecoder:
             return "".join("�" if "\udc80" <= c <= "\udcff" else c for c in data.decode("utf-8", "surrogateescape"))
 
 
+#: The coder of this Python worker, kept from task to task: (digest of the model, encoder, decoder).
+_KEPT: list[tuple[bytes, PieceEncoder, PieceDecoder]] = []
+
+
+def _coders(data: bytes) -> tuple[PieceEncoder, PieceDecoder]:
+    digest = hashlib.sha256(data).digest()
+    if not _KEPT or _KEPT[0][0] != digest:
+        model = Model(data)
+        _KEPT[:] = [(digest, PieceEncoder(model), PieceDecoder(model))]
+    return _KEPT[0][1:]
+
+
 def load_model(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -309,9 +345,9 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     shipped = docs.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def task(batches):
-        model = Model(shipped.value)
-        encoder, decoder = PieceEncoder(model), PieceDecoder(model)
-        first, last = ([model.special["<s>"]], [model.special["</s>"]]) if ends else ([], [])
+        encoder, decoder = _coders(shipped.value)
+        special = encoder.model.special
+        first, last = ([special["<s>"]], [special["</s>"]]) if ends else ([], [])
         for part in slices(batches, "text"):
             rows = []
             for text in part.column("text"):
@@ -338,7 +374,7 @@ def decode_pieces(tokens: DataFrame, model_path: str, id_col: str = "doc_id", id
     shipped = tokens.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def task(batches):
-        decoder = PieceDecoder(Model(shipped.value))
+        decoder = _coders(shipped.value)[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

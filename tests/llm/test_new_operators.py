@@ -183,6 +183,7 @@ def test_pieces_equal_the_library(library, monkeypatch):
     encoder, decoder = PieceEncoder(model), PieceDecoder(model)
     for size in (pieces.CHUNK, 7):
         monkeypatch.setattr(pieces, "CHUNK", size)
+        monkeypatch.setattr(pieces, "SHORT", min(size, 48))
         monkeypatch.setattr(pieces, "CACHE_RUNS", size)
         for text in awkward_texts(800):
             ids, begins, stops = encoder(text)

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from shoal.functions.arrays import distances, matrix
 from shoal.functions.columns import col, require_columns
-from shoal.operators.kmeans import compress, summarise
+from shoal.operators.kmeans import summarise
+from shoal.operators.micro import compress
 from shoal.session import materialise, scratch_path
 
 LINKAGES = ("ward", "complete", "average", "single")
@@ -106,12 +107,12 @@ class Dendrogram:
 
 
 def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", features: str = "features",
-                  micro: int | None = None, seed: int = 42, max_pairs: int | None = MAX_PAIRS,
+                  micro: int | None = None, max_pairs: int | None = MAX_PAIRS,
                   last_clusters: int = LAST_CLUSTERS, block_rows: int = BLOCK_ROWS) -> Dendrogram:
     """Build the tree of a table with a unique BIGINT ``key`` and an array of ``features``.
 
     The exact tree compares all distinct points and is refused beyond ``max_pairs``. With
-    ``micro`` the rows are first replaced by that many weighted K-Means centres, an
+    ``micro`` the rows are first replaced by that many weighted micro-clusters, an
     approximation whose cost is linear in the rows.
     """
     if linkage not in LINKAGES:
@@ -120,7 +121,7 @@ def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", fea
     rows = df
     if micro is not None:
         # written once: finding the nearest of many centres is the costly step
-        rows = materialise(compress(df, micro, seed=seed, features=features), "compressed")
+        rows = materialise(compress(df, micro, features), "compressed")
         points = summarise(rows, features=features).select(F.col("micro").cast("long").alias("pid"), "features", "weight")
     else:
         vectors = col(features).cast("array<double>").alias("features")

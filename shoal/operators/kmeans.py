@@ -1,4 +1,4 @@
-"""K-Means: fits, Lloyd steps from given centres, and compression to weighted centres."""
+"""K-Means: fits, Lloyd steps from given centres, and weighted points that stand for rows."""
 
 from __future__ import annotations
 
@@ -271,12 +271,6 @@ def assign_nearest(df: DataFrame, models: Sequence[np.ndarray], labels: Sequence
                         *[F.col("__labels")[i].alias(name) for i, name in enumerate(labels)])
 
 
-def compress(df: DataFrame, size: int, seed: int = 42, features: str = "features",
-             max_iter: int = 300) -> DataFrame:
-    """Add ``micro``, the number of the row's micro-cluster out of at most ``size``."""
-    return kmeans(df, size, seed=seed, max_iter=max_iter, features=features).assign(df, "micro", features)
-
-
 def summarise(rows: DataFrame, by: Sequence[str] = (), features: str = "features") -> DataFrame:
     """Weighted points that stand for the rows: mean vector and weight per ``micro`` and ``by``.
 

@@ -220,7 +220,7 @@ def silhouette(df: DataFrame, labels: Sequence[str], features: str = "features",
     pairs that Spark spreads over its tasks; a task turns a tile of distances into sums per
     point and cluster at once, so no pair is ever written, and memory per task is bounded
     whatever the table or a cluster holds. The work is quadratic in the distinct points and
-    refused beyond ``max_pairs``; compress the table first (:func:`shoal.operators.kmeans.compress`).
+    refused beyond ``max_pairs``; compress the table first (:func:`shoal.operators.micro.compress`).
     """
     rows = _packed(df, labels, features, weight)
     return _silhouette(rows, labels, _centres(rows, labels), max_pairs)

@@ -62,7 +62,7 @@ def k_sweep(df: DataFrame, ks: Sequence[int] = K_RANGE, n_trials: int = 1, seed:
     if n < ks[-1] + 1:
         raise ValueError(f"{n} rows are too few for K up to {ks[-1]}")
     seeds = [seed + t for t in range(n_trials)]
-    tree = agglomerative(df, "ward", key, features, micro, seed, max_pairs)  # refuses too many pairs before any fit
+    tree = agglomerative(df, "ward", key, features, micro, max_pairs)  # refuses too many pairs before any fit
     fits = kmeans_many(df, ks, seeds, key, features)
     by_tree = {f"h_{k}": k for k in ks}
     by_fit = {f"m_{s}_{k}": (s, k) for s in seeds for k in ks}

@@ -37,9 +37,10 @@ class Settings:
 
 @dataclass(frozen=True)
 class Report:
-    """Everything a run produced; ``tables`` are the ones a report shows."""
+    """Everything a run produced; ``tables`` are the ones a report shows. Correlations are those of the raw table."""
 
     name: str
+    raw: DataFrame = field(repr=False)
     preprocessed: Preprocessed = field(repr=False)
     rows: DataFrame = field(repr=False)
     analysis: KAnalysis = field(repr=False)
@@ -53,7 +54,7 @@ class Report:
             F.col("features")[i].alias(n) for i, n in enumerate(names)])
         return {
             "shape": self.shape, "processed_data": processed, "k_metrics_detail": self.analysis.detail,
-            "k_curves": self.analysis.curves, "correlation": correlation_matrix(processed.drop("row_id")),
+            "k_curves": self.analysis.curves, "correlation": correlation_matrix(self.raw),
             "projection": self.result.projection,
             "voting_history": self.analysis.history, "metrics": self.result.metrics,
             "profile_kmeans": self.result.profile_kmeans,
@@ -86,4 +87,4 @@ def analyze(df: DataFrame, settings: Settings = Settings(), name: str = "dataset
     shape = shape_summary({"raw": df, "processed": rows}).withColumn(
         "n_cols", F.when(F.col("name") == "processed", F.lit(len(pre.columns)).cast("long"))
         .otherwise(F.col("n_cols"))).select(F.lit(name).alias("dataset"), "*")
-    return Report(name, pre, rows, analysis, result, shape)
+    return Report(name, df, pre, rows, analysis, result, shape)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoal.operators.agglomerative import agglomerative
+from shoal.operators.micro import micro_clusters
 from shoal.plans.analyze_k import analyze_k, k_sweep
 from shoal.plans.batch import analyze_folder
 from shoal.plans.grouped import preprocess_groups
@@ -13,6 +14,7 @@ from shoal.plans.report import Settings, analyze
 from shoal.plans.train import run_clustering
 from shoal.queries.clustering import embedded
 from shoal.queries.registry import query, round_columns, rounded, table
+from shoal.queries.tables import _correlation_sql
 from shoal.session import scratch_path
 
 # -- agglomerative: 25 nations described by their customers, and the embeddings -----------------
@@ -109,6 +111,24 @@ def hac_micro(spark, sf_dir):
     return _cut_sizes(tree.cut(range(2, 6)), range(2, 6))
 
 
+_MICRO = {"quantity": "l_quantity", "price": "l_extendedprice / 1000", "discount": "l_discount * 100", "tax": "l_tax * 100"}
+
+
+@query("micro_clusters", "SELECT 200 AS parts, count(*) AS n, round("
+       + " + ".join(f"var_pop({x}) * count(*)" for x in _MICRO.values()) + ", 3) AS inertia, "
+       + ", ".join(f"round(avg({x}), 6) AS {name}" for name, x in _MICRO.items()) + " FROM lineitem")
+def micro_clusters_query(spark, sf_dir):
+    """200 clustering features of all of lineitem: their sizes, inertias inside and between, and means are those of the table."""
+    rows = table(spark, sf_dir, "lineitem").select(F.array(*[F.expr(x).cast("double") for x in _MICRO.values()]).alias("features"))
+    parts = micro_clusters(rows, 200).table(spark)
+    total = parts.agg(F.sum("weight").alias("n"), *[(F.sum(F.col("weight") * F.col("features")[i]) / F.sum("weight")).alias(name)
+                                                    for i, name in enumerate(_MICRO)])
+    gap = sum((F.col("features")[i] - F.col(name)) * (F.col("features")[i] - F.col(name)) for i, name in enumerate(_MICRO))
+    found = parts.crossJoin(F.broadcast(total)).groupBy("n", *_MICRO).agg(  # one row on each side but for 200 parts
+        F.count("*").cast("int").alias("parts"), F.round(F.sum(F.col("inertia") + F.col("weight") * gap), 3).alias("inertia"))
+    return found.select("parts", F.col("n").cast("long").alias("n"), "inertia", *[F.round(c, 6).alias(c) for c in _MICRO])
+
+
 # -- choosing K and training ------------------------------------------------------------------------
 
 @query("k_sweep")
@@ -149,6 +169,17 @@ def full_run_summary(spark, sf_dir):
     return round_columns(report.result.metrics.withColumn("k", k))
 
 
+_SUPPLIER_RAW = "SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS s_acctbal, s_suppkey % 2 = 0 AS even FROM supplier"
+
+
+@query("report_correlation", _correlation_sql(_SUPPLIER_RAW, ["s_suppkey", "s_nationkey", "s_acctbal"]))
+def report_correlation(spark, sf_dir):
+    """The correlation table of a whole run: that of the raw columns, gaps and all, not of the encoded and scaled ones."""
+    gone = F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("s_acctbal")
+    raw = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", gone, (F.col("s_suppkey") % 2 == 0).alias("even"))
+    return round_columns(analyze(raw, Settings(micro=50), "supplier").tables["correlation"])
+
+
 # -- many datasets ----------------------------------------------------------------------------------
 
 _BATCH = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 import reference_math as ref
 from shoal.operators.agglomerative import LINKAGES, agglomerative
-from shoal.operators.kmeans import compress, kmeans, kmeans_many, lloyd, summarise
+from shoal.operators.kmeans import kmeans, kmeans_many, lloyd, summarise
+from shoal.operators import micro
+from shoal.operators.micro import compress, micro_clusters
 from shoal.operators.pca import pca
 from shoal.operators.quality import score, silhouette
 
@@ -199,6 +201,50 @@ def test_labels_reach_rows_without_broadcast(spark, embeddings, monkeypatch):
     assert sorted(map(tuple, tree.cut([4]).select("row_id", "k4").collect())) == want and len(want) == 50
 
 
+def _moments(parts, x):
+    middle = x.mean(0)
+    assert parts.sizes.sum() == len(x)
+    assert (parts.sizes[:, None] * parts.centres).sum(0) / len(x) == pytest.approx(middle)
+    between = (parts.sizes * ((parts.centres - middle) ** 2).sum(1)).sum()
+    assert parts.inertias.sum() + between == pytest.approx(((x - middle) ** 2).sum())
+
+
+@pytest.mark.parametrize("merge_rows,parts", [(16_000, 1), (16_000, 7), (100, 23)])
+def test_micro_clusters_add_up(spark, monkeypatch, merge_rows, parts):
+    """Features add up to the table, through one task or several levels of merges, far from the origin, with copies."""
+    monkeypatch.setattr(micro, "MERGE_ROWS", merge_rows)
+    monkeypatch.setattr(micro, "CHUNK_ROWS", 64)
+    rng = np.random.default_rng(parts)
+    x = np.vstack([rng.normal(size=(900, 3)), np.repeat([[5.0, 5, 5]], 400, axis=0), rng.normal(size=(5, 3)) + 300]) + 1e5
+    found = micro_clusters(frame(spark, x).repartition(parts, "row_id"), 12)
+    assert len(found.sizes) == 12 and (np.diff(found.centres[:, 0]) >= 0).all()
+    _moments(found, x)
+    rest = found.centres[:, 0] < 1e5 + 100
+    assert found.sizes[~rest].sum() == 5  # what lies far off is not mixed with the rest
+    assert found.inertias.sum() < 0.5 * ((x[:900] - x[:900].mean(0)) ** 2).sum()
+
+
+def test_micro_clusters_of_few_rows(spark):
+    x = np.array([[0.1, 7], [3, 4], [0.1, 7], [-1, 0]])
+    found = micro_clusters(frame(spark, x), 5)
+    assert found.centres.tolist() == [[-1, 0], [0.1, 7], [3, 4]] and found.sizes.tolist() == [1, 2, 1] and not found.inertias.any()
+    one = micro_clusters(frame(spark, x), 1)
+    _moments(one, x)
+    assert found.table(spark).columns == ["micro", "weight", "features", "inertia"]
+    with pytest.raises(ValueError, match="no rows"):
+        micro_clusters(frame(spark, x).limit(0), 3)
+    with pytest.raises(ValueError, match="micro-clusters"):
+        micro_clusters(frame(spark, x), 0)
+
+
+def test_micro_clusters_are_nearly_as_tight_as_kmeans(spark, embeddings):
+    x = embeddings[0]
+    df = frame(spark, x)
+    labels = np.array([r["micro"] for r in compress(df, 20).orderBy("row_id").collect()])
+    inertia = sum(((x[labels == c] - x[labels == c].mean(0)) ** 2).sum() for c in set(labels))
+    assert inertia < 1.15 * kmeans(df, 20, max_iter=20).inertia
+
+
 def test_micro_clusters_agree_on_separate_groups(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(size=(60, 2)) * 0.2 + c for c in ((0, 0), (9, 0), (0, 9))])

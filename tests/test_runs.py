@@ -17,7 +17,7 @@ def groups():
 def test_analysis_and_training(spark, groups):
     data = [(float(a), float(b), float(c), "even" if i % 2 else "odd") for i, (a, b, c) in enumerate(groups)]
     df = spark.createDataFrame(data, "a double, b double, c double, s string")
-    report = analyze(df.drop("s"), Settings(n_trials=2))
+    report = analyze(df, Settings(n_trials=2, drop_cols=["s"]))
     assert report.analysis.kmeans_k == 4 == report.analysis.hierarchical_k
     assert report.analysis.history.count() == 2
     curves = report.analysis.curves
@@ -25,7 +25,9 @@ def test_analysis_and_training(spark, groups):
     tables = report.tables
     assert set(tables) == {"shape", "processed_data", "k_metrics_detail", "voting_history", "metrics", "k_curves",
                            "correlation", "projection", "profile_kmeans", "profile_hierarchical"}
-    assert tables["correlation"].count() == 9 and tables["k_curves"].count() == 2 * 9 * 7
+    r = {(x["col_a"], x["col_b"]): x["r"] for x in tables["correlation"].collect()}
+    assert len(r) == 9 and r["a", "c"] == pytest.approx(np.corrcoef(groups[:, 0], groups[:, 2])[0, 1])
+    assert tables["k_curves"].count() == 2 * 9 * 7
     assert {r["model"] for r in tables["metrics"].collect()} == {"K-Means", "Hierarchical"}
     labels = report.result.labels.toPandas()
     assert len(labels) == 120 and labels["row_id"].is_unique
@@ -36,7 +38,18 @@ def test_analysis_and_training(spark, groups):
     assert tables["profile_kmeans"].count() == 4 and tables["profile_kmeans"].columns == ["cluster", "a", "b", "c"]
     assert report.result.projection.columns == ["row_id", "kmeans", "hierarchical", "pc1", "pc2", "pc3"]
     assert sorted(map(tuple, tables["shape"].select("name", "n_rows", "n_cols").collect())) == [
-        ("processed", 120, 3), ("raw", 120, 3)]
+        ("processed", 120, 3), ("raw", 120, 4)]
+
+
+def test_report_correlates_the_raw_table(spark, groups):
+    """A user's row_id column counts, codes of text and filled gaps do not."""
+    rows = [(i, float(p[0]) if i % 5 else None, float(p[1]) if i else 1e6, "ab"[i % 2]) for i, p in enumerate(groups)]
+    report = analyze(spark.createDataFrame(rows, "row_id long, a double, b double, s string"))
+    r = {(x["col_a"], x["col_b"]): x["r"] for x in report.tables["correlation"].collect()}
+    assert {a for a, _ in r} == {"row_id", "a", "b"}
+    both = np.array([x[:3] for x in rows if x[1] is not None], float)
+    assert r["a", "b"] == pytest.approx(np.corrcoef(both[:, 1], both[:, 2])[0, 1])
+    assert r["row_id", "b"] == pytest.approx(np.corrcoef([x[0] for x in rows], [x[2] for x in rows])[0, 1])
 
 
 def test_micro_sweep_agrees_on_separate_groups(spark, groups):

@@ -64,19 +64,20 @@ def overlaps(doc: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text: str = "text", with_hash: bool = False) -> DataFrame:
     """One row per row of ``docs``: (doc_id, contaminated, n_items, items, n_words_hit).
 
     ``items`` are the item ids found, ascending and comma-joined; ``n_words_hit`` counts the words (after
     folding) inside confirmed overlaps. Null and empty texts hold nothing; items with null id or text are
-    not searched for. Rows with a null doc_id or a repeated one are examined each by its own text.
+    not searched for. Rows with a null doc_id or a repeated one are examined each by its own text;
+    ``with_hash`` adds ``text_hash`` (xxhash64 of the text), which tells their results apart.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.col(item_text).cast("string").alias("text")).where(
         "key IS NOT NULL AND text IS NOT NULL").distinct()
     test = materialise(_seed_table(items, "item").distinct(), "seeds")
     bits = bitmap(test, F.col("seed"), SEED_BITS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn(
-        "key", F.coalesce("doc_id", F.xxhash64("text")))
+        "text_hash", F.xxhash64("text")).withColumn("key", F.coalesce("doc_id", "text_hash"))
     hits = _seed_table(rows, "key", bits)
     found = (hits.join(test.withColumnRenamed("pos", "at"), "seed")
              .select("key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct())
@@ -96,7 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for part in slices(batches, "text"):
             hit = holds(doc_bits, part.column("hash").to_numpy().view(np.uint64))
             texts = part.column("text").take(pa.array(np.arange(part.num_rows), mask=~hit))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), texts], ["doc_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), texts, part.column("text_hash")], ["doc_id", "key", "text", "text_hash"])
 
     def confirm(batches):
         hasher = _hasher()
@@ -112,8 +113,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out.append((bool(ids), len(ids), ",".join(map(str, sorted(ids))), len(hit)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *(pa.array([o[j] for o in out], t) for j, t in enumerate(
-                    (pa.bool_(), pa.int64(), pa.string(), pa.int64())))],
-                ["doc_id", "contaminated", "n_items", "items", "n_words_hit"])
-    marked = rows.withColumn("hash", F.xxhash64("key")).mapInArrow(suspects, "doc_id long, key long, text string")
-    return (marked.join(found, "key", "left").select("doc_id", "text", "found")
-            .mapInArrow(confirm, "doc_id long, contaminated boolean, n_items long, items string, n_words_hit long"))
+                    (pa.bool_(), pa.int64(), pa.string(), pa.int64()))), part.column("text_hash")],
+                ["doc_id", "contaminated", "n_items", "items", "n_words_hit", "text_hash"])
+    marked = rows.withColumn("hash", F.xxhash64("key")).mapInArrow(suspects, "doc_id long, key long, text string, text_hash long")
+    out = (marked.join(found, "key", "left").select("doc_id", "text", "found", "text_hash")
+           .mapInArrow(confirm, "doc_id long, contaminated boolean, n_items long, items string, n_words_hit long, text_hash long"))
+    return out if with_hash else out.drop("text_hash")

@@ -61,3 +61,14 @@ def test_stages_survive_awkward_rows(spark, sf_dir):
     assert corpus_pipeline.secret_scan(spark, docs, sf_dir).count() == len(messy_rows())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_decontamination_judges_each_row_by_its_text(spark, sf_dir):
+    """Clean rows that share a null or a repeated doc_id with a contaminated one stay."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    dirty, clean = f"before {item} after", "nothing of the kind stands in here"
+    rows = [(None, dirty, "en", "a", 1), (None, clean, "en", "a", 1), (5, dirty, "en", "a", 1), (5, clean, "en", "a", 1),
+            (6, clean, "en", "a", 1), (7, None, None, None, None), (None, None, None, None, None), (5, clean, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.decontamination(spark, docs, sf_dir)
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted((r for r in rows if r[1] != dirty), key=repr)

@@ -163,11 +163,17 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(node, shingles): the whole sets of the ``wanted`` nodes (node, class, doc), from one more scan of the texts."""
-    bits = bitmap(wanted, F.xxhash64("doc"))
+    """(node, shingles): the whole sets of the ``wanted`` nodes (node, class, doc, text_hash), from one more scan of the texts.
+
+    A node's set is read from the rows of its doc_id, or, where no copy has one, from those of its text; a task passes
+    each set on once, however many rows of one text it meets."""
+    def place(doc, text_hash):
+        return F.when(doc.isNull(), text_hash).otherwise(F.xxhash64(doc))
+    wanted = wanted.select("node", "class", place(F.col("doc"), F.col("text_hash")).alias("h"))
+    bits = bitmap(wanted, F.col("h"))
 
     def sets(batches):
-        hasher = WordHasher(fold=True)
+        hasher, passed = WordHasher(fold=True), set()
         for part in slices(batches, "text"):
             part = part.filter(pa.array(holds(bits, part.column("h").to_numpy().view(np.uint64))))
             if not part.num_rows:
@@ -175,12 +181,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
             found, starts = shingle_sets(part.column("text"), hasher, k)
             raw = found.astype("<u8").tobytes()
             rows = [raw[8 * a:8 * b] for a, b in zip(starts, starts[1:])]
+            classes = [hashlib.md5(r).digest() for r in rows]
+            seen = list(zip(classes, part.column("h").to_pylist(), part.column("known").to_pylist()))
+            fresh = [s[2] or not (s in passed or passed.add(s)) for s in seen]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.md5(r).digest() for r in rows], pa.binary()), part.column("doc"), pa.array(rows, pa.binary())],
-                ["class", "doc", "shingles"])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long")).alias("h"),
-                       F.col(text_col).cast("string").alias("text")).where(F.col("doc").isNotNull())
-    full = rows.mapInArrow(sets, "class binary, doc long, shingles binary").join(wanted.select("node", "class", "doc"), ["class", "doc"])
+                [pa.array(classes, pa.binary()), part.column("h"), pa.array(rows, pa.binary())], ["class", "h", "shingles"]).filter(pa.array(fresh))
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = docs.select(place(doc, F.xxhash64(text)).alias("h"), doc.isNotNull().alias("known"), text.alias("text"))
+    full = rows.mapInArrow(sets, "class binary, h long, shingles binary").join(wanted, ["class", "h"])
     return full.groupBy("node").agg(F.first("shingles").alias("shingles"))  # a repeated row has the same set
 
 
@@ -258,16 +266,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked if their sets of ``k``-word shingles have 100 * intersection >= percent * union.
     ``component_id`` is the smallest doc_id reachable, ``kept`` marks it. Null or wordless texts have
     no shingles and are their own component. A null doc_id never lends its id: such a row takes the
-    component's id if others are linked with it, else null, and is kept only then. Repeated rows
+    component's id if others, directly or through rows without id, are linked with it, else null, and is kept only then. Repeated rows
     (same doc_id) share a component and all say kept. Other columns of ``docs`` are not read; ``text_hash``
     (xxhash64 of the text) tells apart rows whose doc_id is null or stands for several texts.
 
     Misses: a pair at 0.80 shares none of the 32 bands with probability 5e-8, one at 0.85 with 6e-11.
     """
     made = materialise(sketches(docs, id_col, text_col, k), "sketches")
-    with_set = made.where(F.col("class").isNotNull() & F.col("doc").isNotNull())
-    nodes = materialise(with_set.groupBy("class").agg(  # numbered once, in the written table
-        F.min("doc").alias("doc"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
+    nodes = materialise(made.where(F.col("class").isNotNull()).groupBy("class").agg(  # numbered once, in the written table
+        F.min("doc").alias("doc"), F.min("text_hash").alias("text_hash"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     bands = _bands(nodes)
     centres = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")

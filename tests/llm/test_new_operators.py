@@ -10,11 +10,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from llm_data import empty, messy, messy_rows
+from llm_data import empty, messy, messy_rows, prose
 from pyspark.sql import functions as F
+from test_llm_operators import brute_components
 
 from shoal.llm import merkle, spelling
 from shoal.llm.merkle import tamper_check
+from shoal.llm.near_dedup import near_duplicates
 from shoal.llm.pieces import BYTE, SPACE, Model, PieceDecoder, PieceEncoder, _fields, decode_pieces, encode_pieces, load_model, merge
 from shoal.llm.spelling import corrupted, scan, spelling_variants, word_counts
 
@@ -246,3 +248,18 @@ def test_encoded_tables(spark, library):
 def test_other_models_are_refused():
     with pytest.raises(ValueError, match="only BPE"):
         Model(b"")
+
+
+# -- near duplicates without id -----------------------------------------------------------------
+
+def test_rows_without_id_link_others(spark):
+    """Near copies of a document, and a chain that only a row without id closes."""
+    base = prose(21, 200).split()
+
+    def changed(*places):
+        return " ".join("other" + str(p) if p in places else w for p, w in enumerate(base))
+    far = prose(22, 150)
+    rows = [(1, changed()), (None, changed(100)), (None, changed(100)), (None, changed(100, 40)), (7, changed(100, 40, 160)), (8, far), (None, far + " end"), (None, prose(23, 90))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).drop("text_hash")
+    assert rows_of(got, *got.columns) == brute_components(rows)
+    assert got.where("doc_id IS NULL AND kept").count() == 1 and got.where("doc_id = 7").first()["component_id"] == 1

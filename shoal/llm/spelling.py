@@ -195,7 +195,9 @@ def near_words(words: DataFrame, group_words: int | None = None) -> DataFrame:
         large = materialise(large.select(*KEY), "spelling-large")
         split = not large.isEmpty()
         small = rows.join(large, KEY, "left_anti") if split else rows
-        groups = small.groupBy(*KEY).agg(F.collect_list(F.struct("word", "n")).alias("members"), F.min(F.length("word")).alias("least"))
+        # few bytes, much work: without a number of its own the shuffle would be put together into a few tasks
+        tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        groups = small.repartition(tasks, *KEY).groupBy(*KEY).agg(F.collect_list(F.struct("word", "n")).alias("members"), F.min(F.length("word")).alias("least"))
         # a group without a word of the shorter length, or with one word, has no pair
         groups = groups.where((F.size("members") > 1) & (F.col("least") - F.col("start") - F.col("tail") == F.col("base")))
         parts.append(materialise(groups.select("start", "tail", "base", "members").mapInArrow(task, PARTIAL), "spelling-near"))

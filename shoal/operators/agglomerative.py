@@ -6,15 +6,17 @@ round without changing the tree. A round is a Spark job: search the nearest clus
 cluster whose last answer may have changed, join the answers with themselves, relabel. Single
 linkage is the minimum spanning tree: every component follows its shortest outgoing edge.
 
-The search is quadratic in the distinct points. It runs as a grid of block pairs; a task keeps
-one tile of distances in memory and returns the best candidate per cluster, never the pairs.
+The search runs as a grid of block pairs; a task keeps one tile of distances in memory and returns
+the best candidate per cluster, never the pairs. Blocks hold points near one pivot, and pairs of
+blocks that lie too far apart to matter are left out; at worst, with points without any structure,
+the search is quadratic in the distinct points.
 Clusters larger than a block are split over several, and their partial linkages added up.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 
 from shoal.functions.arrays import distances, matrix
 from shoal.functions.columns import col, require_columns
-from shoal.operators.kmeans import summarise
-from shoal.operators.micro import compress
+from shoal.operators.kmeans import assign_nearest, summarise
+from shoal.operators.micro import compress, micro_clusters
 from shoal.session import materialise, scratch_path
 
 LINKAGES = ("ward", "complete", "average", "single")
@@ -39,6 +41,9 @@ TILE_ROWS = 256
 # The last merges of a tree: once this few clusters remain, their linkage matrix (8 MB at most)
 # is finished in one place instead of some jobs per round.
 LAST_CLUSTERS = 1024
+# Fewer blocks than this are all compared; of more, an index tells which pairs may be left out.
+LEAST_BLOCKS = 8
+SLACK = 1e-7  # of the magnitudes at hand: rounding never leaves out a pair
 # Points sent to every task when labels are joined back: at most this many array cells.
 BROADCAST_CELLS = 4_000_000
 HOT_SHARE = 1_000
@@ -65,6 +70,7 @@ class Dendrogram:
     _chains: DataFrame | None = field(default=None, repr=False)
     _edges: DataFrame | None = field(default=None, repr=False)
     _rounds: int = 0
+    search: Search | None = field(default=None, repr=False)
 
     def cut(self, ks: Sequence[int], names: Sequence[str] | None = None) -> DataFrame:
         """The rows with one label column per ``k``; clusters are numbered by their smallest key.
@@ -145,62 +151,125 @@ def agglomerative(df: DataFrame, linkage: str = "ward", key: str = "row_id", fea
 
 # -- nearest clusters ---------------------------------------------------------------------
 
-def _blocked(items: DataFrame, n: int, block_rows: int, whole_clusters: bool) -> tuple[DataFrame, list[str], bool]:
-    """Place rows in blocks; a cluster stays in one block unless it is larger than a block."""
+@dataclass(frozen=True)
+class _Index:
+    """Points dealt to the nearest of some pivots, so that a block of points lies close together."""
+
+    pivots: np.ndarray
+    home: DataFrame  #: (cid, pivot) of every point, under the name a cluster takes from it
+    n: int
+
+
+@dataclass
+class Search:
+    """Pairs of points that searches for nearest clusters could compare, and those they did."""
+
+    possible: float = 0.0
+    compared: float = 0.0
+
+
+def _index(points: DataFrame, n: int, block_rows: int) -> _Index | None:
+    """Pivots for about one block of points each; None where there are too few blocks to skip any."""
+    count = math.ceil(n / block_rows)
+    if count < LEAST_BLOCKS:
+        return None
+    pivots = micro_clusters(points, count).centres
+    home = assign_nearest(points.select("pid", "features"), [pivots], ["pivot"]).select(F.col("pid").alias("cid"), "pivot")
+    return _Index(pivots, materialise(home, "home"), n)
+
+
+def _blocked(items: DataFrame, n: int, block_rows: int, whole_clusters: bool, index: _Index | None) -> tuple[DataFrame, list[str], bool]:
+    """Place rows in blocks; a cluster stays in one block unless it is larger than a block.
+
+    Names of blocks begin with the number of their pivot, where there is an index.
+    """
     slots = items.sparkSession.sparkContext.defaultParallelism
-    count = max(math.ceil(n / block_rows), min(math.ceil(math.sqrt(2 * slots)), math.ceil(n / 1000)))
-    names = [str(b) for b in range(count)]
+    dealt = F.col("cid") if whole_clusters else F.col("pid")
+    if index is None:
+        count = max(math.ceil(n / block_rows), min(math.ceil(math.sqrt(2 * slots)), math.ceil(n / 1000)))
+        names = [str(b) for b in range(count)]
+        placed = items.withColumn("block", F.pmod(F.xxhash64(dealt), F.lit(count)).cast("string"))
+    else:
+        name = "cid" if whole_clusters else "pid"
+        housed = items.join(index.home.withColumnRenamed("cid", name), name)
+        rows = {r["pivot"]: r["n"] for r in housed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per pivot
+        parts = {p: math.ceil(m / block_rows) for p, m in rows.items()}
+        names = [f"{p}.{i}" for p, m in sorted(parts.items()) for i in range(m)]
+        several = items.sparkSession.createDataFrame(sorted(parts.items()), "pivot int, parts int")
+        placed = (housed.join(F.broadcast(several), "pivot")
+                  .withColumn("block", F.concat_ws(".", "pivot", F.pmod(F.xxhash64(dealt, F.lit(3)), F.col("parts")))).drop("pivot", "parts"))
     if not whole_clusters:
-        return items.withColumn("block", F.pmod(F.xxhash64("pid"), F.lit(count)).cast("string")), names, False
+        return placed, names, False
     large = (items.groupBy("cid").agg(F.count(F.lit(1)).alias("rows"))
              .filter(F.col("rows") > block_rows).collect())  # at most n / block_rows
-    block = F.pmod(F.xxhash64("cid"), F.lit(count)).cast("string")
-    for r in large:
-        parts = math.ceil(r["rows"] / block_rows)
-        names += [f"{r['cid']}#{i}" for i in range(parts)]
-        part = F.pmod(F.xxhash64("pid", F.lit(2)), F.lit(parts)).cast("string")
-        block = F.when(F.col("cid") == r["cid"], F.concat(F.lit(f"{r['cid']}#"), part)).otherwise(block)
-    return items.withColumn("block", block), names, bool(large)
+    if large:
+        sizes = [(r["cid"], math.ceil(r["rows"] / block_rows)) for r in large]
+        names += [f"{cid}#{i}" for cid, m in sizes for i in range(m)]
+        table = F.broadcast(items.sparkSession.createDataFrame(sizes, "cid bigint, own_blocks int"))
+        part = F.concat_ws("#", "cid", F.pmod(F.xxhash64("pid", F.lit(2)), F.col("own_blocks")))
+        placed = placed.join(table, "cid", "left").withColumn("block", F.coalesce(F.when(F.col("own_blocks").isNotNull(), part), "block")).drop("own_blocks")
+    return placed, names, bool(large)
+
+
+_FOUND = "cid bigint, other bigint, height double, partial boolean, p bigint, q bigint"
 
 
 def _nearest(items: DataFrame, linkage: str, centre: np.ndarray, n: int, block_rows: int,
-             every_pair: bool = False) -> DataFrame:
+             every_pair: bool = False, index: _Index | None = None, search: Search | None = None) -> DataFrame:
     """``(cid, other, height, p, q)``: the closest other cluster of every active cluster.
 
     ``items`` has ``cid, pid, features, weight, size, active``; ``size`` is the weight of the
     whole cluster. With ``every_pair`` the linkage of all pairs comes back, for the few last
     clusters. ``p`` and ``q`` are the closest points for single linkage.
+
+    Every block meets every other once, and answers for both sides are taken from one tile. With an
+    ``index`` blocks are searched on their own first; a pair of blocks that by the triangle inequality
+    holds nothing closer than what is known is left out, and so is a row that cannot find better there.
     """
-    placed, names, split = _blocked(items, n, block_rows, linkage in ("complete", "average"))
-    blocks = F.array(*[F.lit(b) for b in names])
-    query = (placed.filter("active").select("*", F.explode(blocks).alias("with"))
-             .withColumn("pair", F.concat_ws("|", "block", "with")).withColumn("asks", F.lit(True)))
-    base = (placed.select("*", F.explode(blocks).alias("with"))
-            .withColumn("pair", F.concat_ws("|", "with", "block")).withColumn("asks", F.lit(False)))
-    grid = query.unionByName(base).select("pair", "asks", "cid", "pid", "features", "weight", "size")
-
-    def search(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        name = table.column("pair")[0].as_py()
-        partial = "#" in name or every_pair
+    placed, names, split = _blocked(items, n, block_rows, linkage in ("complete", "average"), index)
+    placed = placed.select("block", "cid", "pid", "features", "weight", "size", "active")
+    pruned = index is not None and not every_pair
+    spark = items.sparkSession
+    pivots = index.pivots - centre if pruned else None
+
+    def compare(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy(zero_copy_only=False)
+        lo, hi = table.column("pair")[0].as_py().split("|")
+        partial = "#" in lo or "#" in hi or every_pair
         x = matrix(table.column("features")) - centre
         cols = {c: table.column(c).to_numpy() for c in ("cid", "pid", "weight", "size")}
-        q = np.flatnonzero(asks)
-        b = np.flatnonzero(~asks)
-        out = {"cid": [], "other": [], "height": [], "p": [], "q": []}
-        if len(q) and len(b):
-            q = q[np.lexsort((cols["pid"][q], cols["cid"][q]))]
-            b = b[np.lexsort((cols["pid"][b], cols["cid"][b]))]
-            found = _search_block(linkage, x, cols, q, b, partial)
-            for column, values in zip(out, found):
-                out[column] = values
-        return pa.table({"cid": pa.array(out["cid"], pa.int64()), "other": pa.array(out["other"], pa.int64()),
-                         "height": pa.array(out["height"], pa.float64()),
-                         "partial": pa.array([partial] * len(out["cid"]), pa.bool_()),
-                         "p": pa.array(out["p"], pa.int64()), "q": pa.array(out["q"], pa.int64())})
-
-    found = (grid.repartition(min(len(names) ** 2, 200_000), "pair").groupBy("pair")
-             .applyInArrow(search, "cid bigint, other bigint, height double, partial boolean, p bigint, q bigint"))
+        ask = table.column("active").to_numpy(zero_copy_only=False).astype(bool)
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        if pruned and lo != hi and not partial:
+            bound, radius = table.column("bound").to_numpy(), table.column("radius").to_numpy()
+            for mine, theirs, other in ((a, b, hi), (b, a, lo)):
+                if len(mine) and len(theirs):
+                    ask[mine] &= _may_beat(linkage, x[mine], cols["size"][mine], cols["cid"][mine], bound[mine], pivots[int(other.split(".")[0])],
+                                           radius[theirs[0]], cols["size"][theirs].min())
+        out = _search_pair(linkage, x, cols, a, b, ask, lo == hi, partial)
+        return pa.table({"cid": pa.array(out[0], pa.int64()), "other": pa.array(out[1], pa.int64()),
+                         "height": pa.array(out[2], pa.float64()), "partial": pa.array([partial] * len(out[0]), pa.bool_()),
+                         "p": pa.array(out[3], pa.int64()), "q": pa.array(out[4], pa.int64())})
+
+    if pruned:
+        blocks = _extents(placed, index, centre)
+        alone = materialise(placed.withColumn("pair", F.concat_ws("|", "block", "block")).groupBy("pair").applyInArrow(compare, _FOUND), "own")
+        known = alone.filter("not partial").select("cid", "height")
+        if linkage in ("ward", "single"):
+            known = known.unionByName(_reach(placed, linkage, blocks, centre))
+        known = known.groupBy("cid").agg(F.min("height").alias("bound"))
+        placed = materialise(placed.join(known, "cid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "placed")
+        pairs = _block_pairs(placed, linkage, blocks, centre, search)
+        radii = spark.createDataFrame(list(zip(blocks.names, blocks.radius.tolist())), "block string, radius double")
+        rows = placed.join(F.broadcast(radii), "block").join(pairs, "block")
+        found = rows.groupBy("pair").applyInArrow(compare, _FOUND).unionByName(alone)
+    else:
+        partner = F.explode(F.array(*[F.lit(b) for b in names])).alias("with")
+        grid = placed.select("*", partner).withColumn("pair", F.concat_ws("|", F.least("block", "with"), F.greatest("block", "with")))
+        found = grid.repartition(min(len(names) * (len(names) + 1) // 2, 200_000), "pair").groupBy("pair").applyInArrow(compare, _FOUND)
+        if search is not None:
+            search.possible += float(n) ** 2
+            search.compared += float(n) ** 2
     if split or every_pair:
         whole = {"complete": F.max("height"), "average": F.sum("height")}.get(linkage, F.min("height"))
         parts = (found.filter("partial").groupBy("cid", "other").agg(whole.alias("height"))
@@ -218,6 +287,166 @@ def _nearest(items: DataFrame, linkage: str, centre: np.ndarray, n: int, block_r
     return found.groupBy("cid").agg(best).select("cid", "best.*").drop("e1", "e2")
 
 
+def _growth(linkage: str, mine, theirs):
+    """What a distance between means is multiplied by; grows with both sizes."""
+    return np.sqrt(2.0 * mine * theirs / (mine + theirs)) if linkage == "ward" else 1.0
+
+
+def _may_beat(linkage, x, size, cid, bound, pivot, radius, least) -> np.ndarray:
+    """Rows of clusters that may find a linkage below ``bound`` among points within ``radius`` of ``pivot``."""
+    far = np.sqrt(((x - pivot) ** 2).sum(1))
+    slack = SLACK * (far + radius + np.sqrt((x ** 2).sum(1)))
+    near = (far - radius - slack) * _growth(linkage, size, least) <= bound * (1 + SLACK)
+    if linkage in ("complete", "average"):  # a cluster is asked for as a whole
+        near = np.isin(cid, cid[near])
+    return near
+
+
+@dataclass(frozen=True)
+class _Extents:
+    """What is known of every block: a point near its rows, how far they lie from it, and the sizes and names of its clusters.
+
+    Blocks of a cluster that fills several have no radius, and are always compared."""
+
+    names: list[str]
+    middle: np.ndarray
+    radius: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    rows: np.ndarray
+
+
+def _extents(placed: DataFrame, index: _Index, centre: np.ndarray) -> _Extents:
+    pivots = index.pivots - centre
+
+    def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+            x = matrix(batch.column(1)) - centre
+            whole = np.array(["#" in b for b in names])
+            to = np.array([0 if w else int(b.split(".")[0]) for b, w in zip(names, whole)])
+            far = np.where(whole[at], np.inf, np.sqrt(((x - pivots[to[at]]) ** 2).sum(1)))
+            far += SLACK * np.sqrt((x ** 2).sum(1))
+            size, cid = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            order = np.argsort(at, kind="stable")
+            heads = np.searchsorted(at[order], np.arange(len(names)))
+            lows = [np.minimum.reduceat(v[order], heads) for v in (size, cid)]
+            highs = [np.maximum.reduceat(v[order], heads) for v in (far, size, cid)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names.tolist(), pa.string()), *(pa.array(v) for v in (highs[0], lows[0], highs[1], lows[1], highs[2])), pa.array(np.bincount(at).astype(float))],
+                names=["block", "radius", "least", "most", "first", "last", "rows"])
+    found = (placed.select("block", "features", "size", "cid")
+             .mapInArrow(extent, "block string, radius double, least double, most double, first bigint, last bigint, rows double").groupBy("block")
+             .agg(F.max("radius").alias("radius"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("first").alias("first"),
+                  F.max("last").alias("last"), F.sum("rows").alias("rows")).orderBy("block").toArrow())  # one row per block
+    names = found.column("block").to_pylist()
+    middle = pivots[[0 if "#" in b else int(b.split(".")[0]) for b in names]]
+    return _Extents(names, middle, *(found.column(c).to_numpy() for c in ("radius", "least", "most", "first", "last", "rows")))
+
+
+def _reach(placed: DataFrame, linkage: str, blocks: _Extents, centre: np.ndarray) -> DataFrame:
+    """(cid, height): a linkage that every active cluster is sure to find, from the extents of the blocks alone."""
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, cid, size = matrix(batch.column(0)) - centre, batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            least = np.full(len(x), np.inf)
+            for a in range(0, len(x), TILE_ROWS):
+                t = slice(a, a + TILE_ROWS)
+                h = (distances(x[t], blocks.middle) + blocks.radius) * (1 + SLACK) * _growth(linkage, size[t, None], blocks.most)
+                h[(blocks.first == cid[t, None]) & (blocks.last == cid[t, None])] = np.inf  # no other cluster there
+                least[t] = h.min(1)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(least)], names=["cid", "height"])
+    return placed.filter("active").select("features", "cid", "size").mapInArrow(sure, "cid bigint, height double")
+
+
+def _block_pairs(placed: DataFrame, linkage: str, blocks: _Extents, centre: np.ndarray, search: Search | None) -> DataFrame:
+    """(block, pair) of the pairs of blocks that must be compared, both ways round: those in which some row may find better."""
+    place = {b: i for i, b in enumerate(blocks.names)}
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, bound, size = matrix(batch.column(0)) - centre, batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            own = np.array([place[b] for b in batch.column(3).to_pylist()], np.int64)
+            norm = np.sqrt((x ** 2).sum(1))
+            needed = set()
+            for a in range(0, len(x), TILE_ROWS):
+                t = slice(a, a + TILE_ROWS)
+                far = distances(x[t], blocks.middle)
+                gap = np.where(np.isinf(blocks.radius), -np.inf, far - blocks.radius - SLACK * (far + norm[t, None]))
+                gap[np.isinf(blocks.radius[own[t]])] = -np.inf
+                near = gap * _growth(linkage, size[t, None], blocks.least) <= bound[t, None] * (1 + SLACK)
+                i, j = np.nonzero(near)
+                needed.update(np.unique(own[t][i] * len(place) + j).tolist())
+            both = sorted({(min(divmod(k, len(place))), max(divmod(k, len(place)))) for k in needed})
+            left, right = ([blocks.names[p[s]] for p in both if p[0] != p[1]] for s in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+
+    found = placed.filter("active").select("features", "bound", "size", "block").mapInArrow(partners, "a string, b string")
+    pairs = materialise(found.distinct(), "block-pairs")
+    if search is not None:
+        rows = placed.sparkSession.createDataFrame(list(zip(blocks.names, blocks.rows.tolist())), "block string, rows double")
+        met = pairs.join(F.broadcast(rows.select(F.col("block").alias("a"), F.col("rows").alias("m"))), "a").join(
+            F.broadcast(rows.select(F.col("block").alias("b"), F.col("rows").alias("n"))), "b").agg(F.sum(F.col("m") * F.col("n"))).first()[0]
+        search.possible += float(blocks.rows.sum()) ** 2
+        search.compared += float((blocks.rows ** 2).sum()) + 2.0 * (met or 0.0)
+    ends = F.explode(F.array("a", "b")).alias("block")
+    return pairs.select(ends, F.concat_ws("|", F.least("a", "b"), F.greatest("a", "b")).alias("pair"))
+
+
+def _search_pair(linkage, x, cols, a, b, ask, alone, partial) -> list[np.ndarray]:
+    """``(cid, other, height, p, q)`` of two blocks (or of one, ``alone``): the best per asking cluster of either side, or all linkages."""
+    order = [v[np.lexsort((cols["pid"][v], cols["cid"][v]))] for v in (a, b)]
+    sides = [(order[0], order[1])] if alone else [(order[0], order[1]), (order[1], order[0])]
+    both = not alone and linkage in ("ward", "single") and not partial
+    if both and min(ask[a].sum() * len(b) + ask[b].sum() * len(a), 2 * len(a) * len(b)) > len(a) * len(b):
+        return _search_both(linkage, x, cols, *order, ask)
+    found = [_search_block(linkage, x, cols, mine[ask[mine]], theirs, partial) for mine, theirs in sides if ask[mine].any() and len(theirs)]
+    return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 5
+
+
+def _heights(linkage, x, cols, t, b) -> np.ndarray:
+    h = distances(x[t], x[b])
+    if linkage == "ward":
+        h *= _growth(linkage, cols["size"][t][:, None], cols["size"][b][None, :])
+    h[cols["cid"][t][:, None] == cols["cid"][b][None, :]] = np.inf
+    return h
+
+
+def _search_both(linkage, x, cols, a, b, ask) -> list[np.ndarray]:
+    """The best of every asking row on either side of one tile after another."""
+    cid, pid = cols["cid"], cols["pid"]
+    least, at = np.full(len(b), np.inf), np.zeros(len(b), np.int64)
+    best = []
+    for start in range(0, len(a), TILE_ROWS):
+        t = a[start:start + TILE_ROWS]
+        h = _heights(linkage, x, cols, t, b)
+        j = _first_smallest(h)
+        low = h[np.arange(len(t)), j]
+        ok = np.isfinite(low) & ask[t]
+        best.append((cid[t][ok], cid[b][j][ok], low[ok], pid[t][ok], pid[b][j][ok]))
+        i = _first_smallest(h.T)
+        low = h[i, np.arange(len(b))]
+        better = low < least * (1 - 1e-10)
+        least[better], at[better] = low[better], t[i[better]]
+    ok = np.isfinite(least) & ask[b]
+    best.append((cid[b][ok], cid[at][ok], least[ok], pid[b][ok], pid[at][ok]))
+    return _per_cluster(linkage, [np.concatenate(c) for c in zip(*best)])
+
+
+def _per_cluster(linkage, found):
+    """Of the rows of one cluster only the best is passed on."""
+    if linkage == "single" and len(found[0]):
+        lo, hi = np.minimum(found[3], found[4]), np.maximum(found[3], found[4])
+        order = np.lexsort((hi, lo, _significant(found[2]), found[0]))
+        _, first = np.unique(found[0][order], return_index=True)
+        found = [c[order][first] for c in found]
+    return found
+
+
 def _search_block(linkage, x, cols, q, b, partial):
     """Linkages between the clusters of two blocks: the best per asking cluster, or all of them."""
     cid, pid, weight, size = (cols[c] for c in ("cid", "pid", "weight", "size"))
@@ -225,10 +454,7 @@ def _search_block(linkage, x, cols, q, b, partial):
         best = []
         for start in range(0, len(q), TILE_ROWS):
             t = q[start:start + TILE_ROWS]
-            h = distances(x[t], x[b])
-            if linkage == "ward":
-                h *= np.sqrt(2.0 * size[t][:, None] * size[b][None, :] / (size[t][:, None] + size[b][None, :]))
-            h[cid[t][:, None] == cid[b][None, :]] = np.inf
+            h = _heights(linkage, x, cols, t, b)
             if partial:  # every pair, of few clusters
                 i, j = np.nonzero(np.isfinite(h))
                 best.append((cid[t][i], cid[b][j], h[i, j], pid[t][i], pid[b][j]))
@@ -238,12 +464,7 @@ def _search_block(linkage, x, cols, q, b, partial):
                 ok = np.isfinite(at)
                 best.append((cid[t][ok], cid[b][j][ok], at[ok], pid[t][ok], pid[b][j][ok]))
         found = [np.concatenate(c) for c in zip(*best)]
-        if linkage == "single" and not partial and len(found[0]):
-            lo, hi = np.minimum(found[3], found[4]), np.maximum(found[3], found[4])
-            order = np.lexsort((hi, lo, _significant(found[2]), found[0]))
-            _, first = np.unique(found[0][order], return_index=True)
-            found = [c[order][first] for c in found]
-        return found
+        return found if partial else _per_cluster(linkage, found)
     mine, rows = np.unique(cid[q], return_index=True)
     theirs, columns = np.unique(cid[b], return_index=True)
     reduce_at = np.maximum.reduceat if linkage == "complete" else np.add.reduceat
@@ -294,10 +515,14 @@ def _merge_rounds(base: dict, centre: np.ndarray, last_clusters: int, block_rows
     known: DataFrame | None = None
     merges: list[DataFrame] = []
     left, step, noisy = n, 0, False
+    search, index = Search(), None
     while left > max(1, last_clusters):
         if not noisy:
             step += 1
-            found = _nearest(items, linkage, centre, n if linkage != "ward" else left, block_rows)
+            rows = n if linkage != "ward" else left
+            if index is None or rows * 4 < index.n:  # blocks of a few rows are not worth their jobs
+                index = _index(items.select(F.col("cid").alias("pid"), "features") if linkage == "ward" else points, rows, block_rows)
+            found = _nearest(items, linkage, centre, rows, block_rows, index=index, search=search)
             found = found.select("cid", "other", "rank", "height")
             nearest = materialise(found if known is None else found.unionByName(known), "nearest")
         clusters = _clusters(items, linkage)
@@ -321,7 +546,7 @@ def _merge_rounds(base: dict, centre: np.ndarray, last_clusters: int, block_rows
         merges.append(spark.createDataFrame(tail, _MERGES))
     table = materialise(_union(merges), "merges") if merges else spark.createDataFrame([], _MERGES)
     chains = materialise(_chains(points, table, rounds, tail), "chains")
-    return Dendrogram(merges=table, _chains=chains, _rounds=rounds, **base)
+    return Dendrogram(merges=table, _chains=chains, _rounds=rounds, search=search, **base)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -473,11 +698,12 @@ def _spanning_tree(base: dict, centre: np.ndarray, block_rows: int) -> Dendrogra
     spark.createDataFrame([], schema).write.parquet(folder)
     components = points.select("pid", F.col("pid").alias("cid"))
     left, step = n, 0
+    search, index = Search(), _index(points, n, block_rows)
     while left > 1:
         step += 1
         items = points.join(components, "pid").select(
             "cid", "pid", "features", "weight", F.col("weight").alias("size"), F.lit(True).alias("active"))
-        out = materialise(_nearest(items, "single", centre, n, block_rows), "nearest")
+        out = materialise(_nearest(items, "single", centre, n, block_rows, index=index, search=search), "nearest")
         out.select(F.lit(step).alias("round"), "p", "q", "height", "rank").write.mode("append").parquet(folder)
         roots = _contract(out.select(F.col("cid").alias("node"), F.col("other").alias("to")))
         components = materialise(_follow(components, roots), "components")
@@ -487,7 +713,7 @@ def _spanning_tree(base: dict, centre: np.ndarray, block_rows: int) -> Dendrogra
     merges = (edges.select("round", *ends, "height", "rank").groupBy("a", "b")
               .agg(F.min("height").alias("height"), F.min("rank").alias("rank"), F.min("round").alias("step"))
               .select("step", "a", "b", "height", F.lit(None).cast("double").alias("size")))
-    return Dendrogram(merges=merges, _edges=edges, _rounds=step, **base)
+    return Dendrogram(merges=merges, _edges=edges, _rounds=step, search=search, **base)
 
 
 def _contract(pointers: DataFrame) -> DataFrame:

@@ -160,6 +160,18 @@ def test_trees(spark, embeddings, linkage, options):
         assert [r[f"k{k}"] for r in cut] == ref.numbered(parts[k]), (linkage, k)
 
 
+@pytest.mark.parametrize("linkage", LINKAGES)
+def test_blocks_too_far_apart_are_not_compared(spark, linkage):
+    """Eight groups of points far from the origin: the tree is that of all pairs, over half of which are never looked at."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(20, 2)) + c for c in rng.uniform(-60, 60, size=(8, 2))]) + 1e4
+    heights, parts = ref.agglomerate(x, linkage)
+    tree = agglomerative(frame(spark, x), linkage, last_clusters=70, block_rows=10)
+    assert np.allclose(sorted(r["height"] for r in tree.merges.collect()), np.sort(heights))
+    assert [r["k8"] for r in sorted(tree.cut([8]).collect(), key=lambda r: r["row_id"])] == ref.numbered(parts[8])
+    assert 0 < tree.search.compared < 0.5 * tree.search.possible
+
+
 def test_rounds_down_to_one_cluster(spark, embeddings):
     x = embeddings[0][:24, :3]
     heights, parts = ref.agglomerate(x, "ward")

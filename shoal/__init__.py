@@ -12,7 +12,7 @@ from shoal.operators.choose_k import (  # noqa: E402
     best_k, consensus, k_detail, kneedle, voting_history, weighted_vote)
 from shoal.operators.cleaning import drop_missing, impute, label_encode, scale, zscore_filter  # noqa: E402
 from shoal.operators.columns import assemble, drop_columns, preview, shape_summary  # noqa: E402
-from shoal.operators.kmeans import assign_nearest, kmeans, kmeans_many, lloyd  # noqa: E402
+from shoal.operators.kmeans import assign_nearest, kmeans, kmeans_groups, kmeans_many, lloyd  # noqa: E402
 from shoal.operators.micro import compress, micro_clusters  # noqa: E402
 from shoal.operators.pca import pca, projection  # noqa: E402
 from shoal.operators.quality import (  # noqa: E402
@@ -32,7 +32,7 @@ __all__ = [
     "Dendrogram", "Preprocessed", "Report", "Settings", "agglomerative", "analyze", "analyze_batch",
     "analyze_folder", "analyze_k", "assemble", "assign_nearest", "best_k", "calinski_harabasz",
     "cluster_profile", "compress", "consensus", "correlation_matrix", "davies_bouldin", "drop_columns",
-    "drop_missing", "impute", "infer_types", "k_detail", "k_sweep", "kmeans", "kmeans_many", "kneedle",
+    "drop_missing", "impute", "infer_types", "k_detail", "k_sweep", "kmeans", "kmeans_groups", "kmeans_many", "kneedle",
     "label_encode", "lloyd", "load_csv", "load_csv_folder", "load_csv_tables", "micro_clusters", "pca", "preprocess", "preprocess_groups",
     "preview", "projection", "read_results", "release", "run_clustering", "scale", "score", "shape_summary",
     "silhouette", "voting_history", "weighted_vote", "write_results", "zscore_filter"]

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from shoal.operators.agglomerative import agglomerative
 from shoal.operators.cleaning import impute, label_encode
 from shoal.operators.kmeans import kmeans, kmeans_many
-from shoal.operators.quality import score
+from shoal.operators.pca import pca_groups
+from shoal.operators.quality import score, silhouette_squared
 from shoal.operators.statistics import correlation_matrix
 from shoal.plans.analyze_k import analyze_k
+from shoal.plans.group_fits import fit_groups
 from shoal.plans.train import run_clustering
 from shoal.queries.registry import ORACLES, query, round_columns, rounded_sql, table
-from shoal.queries.clustering import moments_sql, scaled_lines, silhouette_sql
+from shoal.queries.clustering import _SCALED_LINES, moments_sql, scaled_lines, silhouette_sql
 from shoal.queries.runs import _hac_sql, nations
 from shoal.queries.tables import _correlation_sql, gappy_lineitem
 from shoal.session import scratch_path
@@ -149,6 +151,70 @@ def hac_micro_segments(spark, sf_dir):
                                       F.count("*").alias("n")).where("m = 1").select(F.lit(5).alias("k"), "segment", "n")
 
 
+def _squared_sql(source: str, by: str) -> str:
+    """Silhouettes of squared distances of ``source`` (f1, f2, ..., label and ``by``), a column list in ``by``."""
+    return source + f"""m AS (SELECT {by}, label, count(*) AS n, list(f) AS fs FROM p GROUP BY {by}, label),
+c AS (SELECT {by}, label, n, [list_avg(list_transform(fs, lambda v: v[i])) FOR i IN range(1, len(fs[1]) + 1)] AS f FROM m),
+w AS (SELECT {", ".join("p." + b for b in by.split(", "))}, p.label, sum(power(list_distance(p.f, c.f), 2)) / any_value(n) AS w FROM p JOIN c USING ({by}, label) GROUP BY ALL),
+d AS (SELECT p.*, c.label AS other, c.n, power(list_distance(p.f, c.f), 2) + w.w AS d2 FROM p JOIN c USING ({by}) JOIN w ON w.label = c.label AND {" AND ".join(f"w.{b} = p.{b}" for b in by.split(", "))}),
+ab AS (SELECT {by}, id, label, max(CASE WHEN label = other THEN d2 * n / greatest(n - 1, 1) END) AS a, min(CASE WHEN label <> other THEN d2 END) AS b FROM d GROUP BY {by}, id, label),
+point AS (SELECT {by}, label, (b - a) / greatest(a, b) AS s FROM ab)"""
+
+
+_LINES_SQL = _SCALED_LINES.replace("AS f, ascii", "AS f, 0 AS part, row_number() OVER () AS id, ascii")
+
+
+@query("silhouette_squared", _squared_sql(f"WITH p AS ({_LINES_SQL}), ", "part") + """
+SELECT 'flag' AS model, label AS cluster, count(*) AS n, """ + rounded_sql("avg(s)") + " AS silhouette FROM point GROUP BY label")
+def silhouette_squared_query(spark, sf_dir):
+    """Silhouettes of squared distances of all of lineitem by return flag, without a pair of rows."""
+    return round_columns(silhouette_squared(scaled_lines(spark, sf_dir), ["flag"]))
+
+
+_GROUPED_SQL = f"SELECT c_custkey AS id, c_mktsegment AS label, c_nationkey % 3 AS part, [{_APART_SQL}, c_acctbal / 1000] AS f FROM customer"
+
+
+def _datasets(spark, sf_dir):
+    """The market segments in three datasets, by nation."""
+    nations_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("row_id"), (F.col("c_nationkey") % 3).cast("int").alias("dataset"))
+    return segments(spark, sf_dir).join(nations_, "row_id")
+
+
+@query("batch_fits", """SELECT (c_nationkey % 3)::INT AS dataset, c_mktsegment AS lo, c_mktsegment AS hi, count(*) AS n, round(avg(c_acctbal / 1000), 6) AS balance
+FROM customer GROUP BY ALL""")
+def batch_fits(spark, sf_dir):
+    """Fits of five clusters in three datasets at once: in each they are the market segments."""
+    rows = _datasets(spark, sf_dir)
+    found = fit_groups(rows, "dataset", [5])
+    labelled = found.assign(rows, 5)
+    return round_columns(labelled.groupBy("dataset", "label").agg(
+        F.min("c_mktsegment").alias("lo"), F.max("c_mktsegment").alias("hi"), F.count("*").alias("n"),
+        F.avg(F.element_at("features", -1)).alias("balance")).drop("label"))
+
+
+@query("batch_scores", " UNION ALL ".join(f"""(WITH s AS ({_squared_sql(f"WITH p AS ({_GROUPED_SQL}), ", "part")} SELECT avg(s) AS v FROM point WHERE part = {g}),
+{moments_sql(_GROUPED_SQL + f" WHERE c_nationkey % 3 = {g}")}
+SELECT {g} AS dataset, {rounded_sql('s.v')} AS silhouette_squared, {rounded_sql('davies_bouldin')} AS davies_bouldin, round(calinski_harabasz, 0) AS calinski_harabasz FROM s, db, ch)"""
+    for g in range(3)))
+def batch_scores(spark, sf_dir):
+    """The three indices of these fits."""
+    curves = fit_groups(_datasets(spark, sf_dir), "dataset", [5]).curves
+    names = ["silhouette_squared", "davies_bouldin", "calinski_harabasz"]
+    wide = curves.groupBy(F.col("group").alias("dataset")).agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in names])
+    return round_columns(wide.withColumn("calinski_harabasz", F.round("calinski_harabasz", 0)))
+
+
+@query("batch_components", """WITH p AS (SELECT l_returnflag AS dataset, l_quantity AS x, l_discount * 100 + l_quantity / 10 AS y FROM lineitem),
+m AS (SELECT dataset, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b FROM p GROUP BY dataset)
+SELECT dataset, i::INT AS component, round((a + c) / 2 + CASE WHEN i = 1 THEN 1 ELSE -1 END * sqrt(power((a - c) / 2, 2) + b * b), 6) AS variance
+FROM m, (SELECT unnest([1, 2]) AS i)""")
+def batch_components(spark, sf_dir):
+    """Variances along the principal components of two measures, for every return flag by itself."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.array(
+        "l_quantity", F.col("l_discount") * 100 + F.col("l_quantity") / 10).alias("features"))
+    return round_columns(pca_groups(rows, "dataset").select(F.col("group").alias("dataset"), "component", "variance"))
+
+
 @query("hac_copies", """WITH r AS (SELECT c_custkey AS key, c_mktsegment AS s, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer),
 alone AS (SELECT key FROM r WHERE i > 1 ORDER BY key LIMIT 4),
 own AS (SELECT r.*, CASE WHEN i = 1 OR key IN (SELECT key FROM alone) THEN key ELSE min(key) OVER (PARTITION BY s) END AS c FROM r)

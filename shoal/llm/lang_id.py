@@ -175,6 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     shipped = docs.sparkSession.sparkContext.broadcast(vars(model) if model else None)  # centroids: clusters x languages x places
     names = ["doc_id", "lang_pred", "score", "rejected"]
     carried = [c for c in keep if c not in names]
+    moved = [c for c in carried if c != text_col or docs.schema[c].dataType.simpleString() != "string"]  # the text itself travels once
 
     def task(batches):
         profiler, model = Profiler(), LanguageModel(**shipped.value) if shipped.value else None
@@ -193,9 +194,9 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
                             langs[i] = lang
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores.astype(float)), pa.array(out),
-                     *(part.column(c) for c in carried)], names + carried)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carried])
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)
+                     *(part.column(c if c in moved else "__text") for c in carried)], names + carried)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in moved])
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     return rows.mapInArrow(task, "doc_id long, lang_pred string, score double, rejected boolean" + extra)
 
 

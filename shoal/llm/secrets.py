@@ -173,6 +173,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_cost", "base", "spans", "guess_bits", "redacted"]
     carried = [c for c in keep if c not in names]
+    moved = [c for c in carried if c != text_col or docs.schema[c].dataType.simpleString() != "string"]  # the text itself travels once
 
     def task(batches):
         cost = GuessCost()
@@ -185,9 +186,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append((*count, written(base), written(spans), most, redacted(text, spans) if spans else None))
             types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types)), *(part.column(c) for c in carried)], names + carried)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carried])
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carried)
+                [part.column("doc_id"), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types)), *(part.column(c if c in moved else "__text") for c in carried)], names + carried)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in moved])
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     return rows.mapInArrow(task, "doc_id long, n_assign long, n_access long, n_hex long, n_cost long, base string, spans string, "
                                  "guess_bits double, redacted string" + extra)
 

@@ -32,6 +32,18 @@ def numbers(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed)) | np.uint64(1)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Let rows of long texts travel to Python in batches of ``BATCH_BYTES`` at most: what a task holds outside the heap
+    is a few batches, on both sides. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name).removesuffix("b")
+    if given.isdigit() and int(given) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:

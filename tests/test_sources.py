@@ -1,6 +1,11 @@
+import csv as csv_module
+import io
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from shoal.sources.csv import dataset_files, has_line_breaks, load_csv, load_csv_folder, load_csv_tables
+from shoal.sources.csv import _CSV, _read_records, dataset_files, has_line_breaks, load_csv, load_csv_folder, load_csv_tables
 from shoal.sources.results import read_results, write_results
 
 
@@ -94,3 +99,72 @@ def test_release_deletes_what_the_application_wrote(spark):
     assert kept.count() == 3 and release(spark) and not release(spark)
     with pytest.raises(Exception):
         kept.select("id").collect()
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def plain(text):
+    rows = [[c if c else None for c in r] for r in csv_module.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r) or len(r) > 1]
+    return rows[0], sorted((tuple(r + [None] * (len(rows[0]) - len(r))) for r in rows[1:]), key=repr)
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+@pytest.mark.parametrize("size", [37, 200, 1000])
+def test_ranges_that_begin_inside_cells(spark, tmp_path, ends, size):
+    """Cells span lines and ranges, hold doubled quotes and commas; blank lines, short rows, an open last line."""
+    rng = random.Random(size)
+    lines = ["name,\"no\"\"te\",x"]
+    for i in range(120):
+        note = ends.join("".join(rng.choice('ab ,"') for _ in range(rng.randint(0, 30))) for _ in range(rng.choice([1, 1, 2, 3, 9])))
+        lines.append(rng.choice([f'r{i},"{note.replace(chr(34), chr(34) * 2)}",t{i}', f"r{i},plain,t{i}", "", f"r{i},short"]))
+    text = ends.join(lines)
+    put(tmp_path, "wide.csv", text)
+    path = str(tmp_path / "wide.csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        names = ["name", 'no"te', "x"]
+        found = _read_records(spark, path, names)
+        assert found is not None and found.select("__path").distinct().count() == 1
+        assert spark.read.text(path).rdd.getNumPartitions() > 2 or size == 1000
+        header, want = plain(text.replace("\r\n", "\n"))
+        # a quoted empty cell is an empty text, an open one is missing
+        assert rows_of(found.select(*[F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")) for n in names])) == want and header == names
+        assert rows_of(found.drop("__path")) == rows_of(whole_file(spark, path, names))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def whole_file(spark, path, names):
+    schema = ", ".join(f"`{n}` string" for n in [*names, "__more_cells"])
+    return spark.read.options(header=True, multiLine=True, **_CSV).schema(schema).csv(path)
+
+
+def test_files_that_ranges_cannot_read(spark, tmp_path):
+    """A quote inside an unquoted cell, lone carriage returns, a header that crosses ranges: one task, the same rows."""
+    texts = {"inch.csv": 'a,b\n5" pipe,x\n"two\nlines",y\n', "mac.csv": 'a,b\r1,"two\rlines"\r3,y\r', "head.csv": '"a' + "\n" * 90 + '",b\n1,2\n'}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50)
+    try:
+        for name, text in texts.items():
+            put(tmp_path, name, text)
+            names = ["a", "b"]
+            assert _read_records(spark, str(tmp_path / name), names) is None
+        assert sorted(r["b"] for r in load_csv(spark, str(tmp_path / "inch.csv"), multiline=True).collect()) == ["x", "y"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_folder_of_files_with_breaks(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"d{i}").mkdir()
+        put(tmp_path / f"d{i}", "part.csv", "k,v\n" + "".join(f'{i}{j},"line {j}\nnext"\n' for j in range(40)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100)
+    try:
+        found = load_csv_tables(spark, str(tmp_path))
+        assert found.count() == 120 and found.where("v NOT LIKE '%next'").count() == 0
+        assert {r["n"] for r in found.groupBy("dataset").agg(F.count("*").alias("n")).collect()} == {40}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.bitmap import bitmap, holds
-from shoal.llm.words import WordHasher, gathered, mix, row_numbers, slices
+from shoal.llm.words import WordHasher, gathered, mix, row_numbers, slices, small_batches
 from shoal.session import materialise
 
 BACKOFF = 0.4
 HOT = 1 << 18
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 SHARED_BITS = 26
 UNKNOWN = 0
 #: Keys of the join: below WORD two ids, from WORD on the hash of a word, from PAIR on that of a bigram; rows of documents are negative.
@@ -103,6 +103,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     (16 bytes each) and has no part in the result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     words = materialise(word_counts(rows), "words")
     total = words.agg(F.sum("n")).first()[0] or 0

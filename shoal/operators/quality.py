@@ -30,6 +30,9 @@ TILE_ROWS = 512
 STRIP_CELLS = 32_768
 # Centres are sent to every task: refuse tables of centres larger than this.
 MAX_CENTRE_VALUES = 20_000_000
+# Beyond this many, indices that need no silhouette leave the centres a table; so many rows of a cluster meet one copy of its centre.
+CENTRE_VALUES = 1_000_000
+SALT_ROWS, MOST_SALTS = 1_000_000, 10_000
 _FLUSH_GROUPS = 20_000
 
 
@@ -210,6 +213,102 @@ def calinski_harabasz(df: DataFrame, labels: Sequence[str], features: str = "fea
     return score(df, labels, features, silhouette=None).select("model", "calinski_harabasz")
 
 
+# -- many clusters: centres stay a table ---------------------------------------------------------
+
+_SPREADS = "model int, cluster bigint, far double, square double"
+
+
+def _score_tables(rows: DataFrame, labels: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(model, davies_bouldin, calinski_harabasz)`` for labelings of any number of clusters.
+
+    Centres are a table throughout: rows are joined with their own, and pairs of centres meet block by block, where a
+    task keeps the worst ratio of each centre. Only sums per labeling reach the driver.
+    """
+    spark = rows.sparkSession
+    each = rows.select("features", "weight", F.posexplode("labels").alias("model", "cluster")).withColumn("cluster", F.col("cluster").cast("long"))
+    total = Summarizer.metrics("mean").summary(array_to_vector("features"), F.col("weight"))
+    centres = materialise(each.groupBy("model", "cluster").agg(F.sum("weight").alias("n"), vector_to_array(total["mean"]).alias("centre")), "centres")
+
+    def spreads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gap, w = matrix(batch.column("features")) - matrix(batch.column("centre")), batch.column("weight").to_numpy()
+            keys, at = np.unique(np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("model", "cluster")]), axis=0, return_inverse=True)
+            square = np.einsum("ij,ij->i", gap, gap)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[:, 0].astype(np.int32)), pa.array(keys[:, 1]), pa.array(np.bincount(at.ravel(), w * np.sqrt(square))),
+                 pa.array(np.bincount(at.ravel(), w * square))], names=["model", "cluster", "far", "square"])
+
+    # a cluster of a third of the rows is one key of the join: its rows are spread over copies of the centre
+    salts = F.sequence(F.lit(0), F.least(F.floor(F.col("n") / SALT_ROWS), F.lit(MOST_SALTS)).cast("int"))
+    salted = centres.select("model", "cluster", "centre", F.explode(salts).alias("salt"), F.size(salts).alias("of"))
+    sizes = centres.select("model", "cluster", F.size(salts).alias("of")).where("of > 1")  # at most rows / SALT_ROWS of a labeling
+    keyed = each.join(F.broadcast(sizes), ["model", "cluster"], "left")
+    keyed = keyed.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("features", F.monotonically_increasing_id()), F.col("of")), F.lit(0)).cast("int")).drop("of")
+    met = keyed.join(salted.drop("of"), ["model", "cluster", "salt"]).select("model", "cluster", "features", "centre", "weight")
+    spread = met.mapInArrow(spreads, _SPREADS).groupBy("model", "cluster").agg(F.sum("far").alias("far"), F.sum("square").alias("square"))
+    found = materialise(centres.join(spread, ["model", "cluster"]).withColumn("spread", F.col("far") / F.col("n")), "spreads")
+    whole = Summarizer.metrics("mean").summary(array_to_vector("centre"), F.col("n"))
+    sums = {r["model"]: r for r in found.groupBy("model").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("square").alias("square"), F.max("spread").alias("most"),
+        vector_to_array(whole["mean"]).alias("middle")).collect()}  # one row per labeling
+    if len(sums) < len(labels):
+        raise ValueError("no rows to score")
+    for r in sums.values():
+        if not 2 <= r["k"] <= r["n"] - 1:
+            raise ValueError(f"{r['k']} clusters for {int(r['n'])} rows: need 2 to rows - 1")
+    middles = {m: np.array(r["middle"]) for m, r in sums.items()}
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = dict.fromkeys(middles, 0.0)
+        for batch in batches:
+            model, n, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+            for m, middle in middles.items():
+                out[m] += float((n[model == m, None] * (x[model == m] - middle) ** 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()))], names=["model", "total"])
+
+    apart = {r["model"]: r["total"] for r in found.select("model", "n", "centre").mapInArrow(between, "model int, total double")
+             .groupBy("model").agg(F.sum("total").alias("total")).collect()}
+    blocks = {m: max(1, -(-r["k"] // block_rows)) for m, r in sums.items()}
+    of_model = F.element_at(F.create_map(*[F.lit(v) for m, b in blocks.items() for v in (m, b)]), F.col("model"))
+    placed = found.select("model", "cluster", "centre", "spread", F.pmod(F.xxhash64("cluster"), of_model).cast("int").alias("block"), of_model.alias("blocks"))
+    grid = (placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("model", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cluster", "centre", "spread"))
+
+    def worst(table: pa.Table) -> pa.Table:
+        block, cluster, spread = (table.column(c).to_numpy() for c in ("block", "cluster", "spread"))
+        m, i, j = (table.column(c)[0].as_py() for c in ("model", "i", "j"))
+        x = matrix(table.column("centre")) - middles[m]
+        ratio, far = np.full(len(x), -np.inf), 0.0
+        mine, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for a in range(0, len(mine), TILE_ROWS):
+            t = mine[a:a + TILE_ROWS]
+            d = distances(x[t], x[theirs])
+            close = np.argwhere(d < 1e-6 * (np.sqrt((x * x).sum(1).max()) + 1e-300))
+            for c in range(0, len(close), TILE_ROWS):  # rounding hides whether close centres coincide
+                p, q = close[c:c + TILE_ROWS].T
+                d[p, q] = np.sqrt(((x[t[p]] - x[theirs[q]]) ** 2).sum(1))
+            far = max(far, float(d.max(initial=0.0)))
+            d[d == 0] = np.inf
+            r = np.where(cluster[t][:, None] == cluster[theirs][None, :], -np.inf, (spread[t][:, None] + spread[theirs][None, :]) / d)
+            ratio[t] = np.maximum(ratio[t], r.max(1, initial=-np.inf))
+            ratio[theirs] = np.maximum(ratio[theirs], r.max(0, initial=-np.inf))
+        return pa.table({"model": pa.array(np.full(len(x), m), pa.int32()), "cluster": pa.array(cluster), "ratio": pa.array(ratio), "far": pa.array(np.full(len(x), far))})
+
+    most = (grid.groupBy("model", "i", "j").applyInArrow(worst, "model int, cluster bigint, ratio double, far double")
+            .groupBy("model", "cluster").agg(F.max("ratio").alias("ratio"), F.max("far").alias("far"))
+            .groupBy("model").agg(F.avg("ratio").alias("ratio"), F.max("far").alias("far")).collect())
+    out = []
+    for r in most:
+        m, s = r["model"], sums[r["model"]]
+        flat = np.isclose(s["most"], 0) or np.isclose(r["far"], 0)
+        within = s["square"]
+        ch = 1.0 if within == 0 else apart[m] * (s["n"] - s["k"]) / (within * (s["k"] - 1))
+        out.append((labels[m], 0.0 if flat else float(r["ratio"]), float(ch)))
+    return spark.createDataFrame(out, "model string, davies_bouldin double, calinski_harabasz double")
+
+
 # -- silhouette ---------------------------------------------------------------------------
 
 def silhouette(df: DataFrame, labels: Sequence[str], features: str = "features",
@@ -390,19 +489,29 @@ def squared_scores(rows: DataFrame, labels: Sequence[str], clusters: Mapping[str
                     F.col("n").cast("long").alias("n"), (F.col("total") / F.col("n")).alias("silhouette")))
 
 
+def _cells(rows: DataFrame, labels: Sequence[str]) -> int:
+    """About how many numbers the centres of all labelings hold."""
+    counts = [F.approx_count_distinct(F.col("labels")[m]) for m in range(len(labels))]
+    seen = rows.agg(sum(counts[1:], counts[0]).alias("k"), F.max(F.size("features")).alias("width")).first()
+    return (seen["k"] or 0) * (seen["width"] or 0)
+
+
 # -- all indices -------------------------------------------------------------------------------
 
 def score(df: DataFrame, labels: Sequence[str], features: str = "features", weight: str | None = None,
           silhouette: str | None = "exact", max_pairs: int | None = MAX_PAIRS,
-          points: DataFrame | None = None) -> DataFrame:
+          points: DataFrame | None = None, centre_values: int = CENTRE_VALUES) -> DataFrame:
     """``(model, silhouette, davies_bouldin, calinski_harabasz)``, one row per label column.
 
     ``silhouette`` is ``exact`` (Euclidean, all pairs), ``squared`` (of squared distances, linear) or None.
     ``points`` is an optional smaller weighted table (``features``, the label columns and
-    ``weight``) to take the silhouette from; the other two indices always see every row.
+    ``weight``) to take the silhouette from; the other two indices always see every row. Without a silhouette, centres of
+    more than ``centre_values`` numbers in all stay a table, and no number of clusters is too large.
     """
     labels = list(labels)
     rows = _packed(df, labels, features, weight)
+    if silhouette is None and _cells(rows, labels) > centre_values:
+        return _score_tables(rows, labels).select("model", F.lit(None).cast("double").alias("silhouette"), "davies_bouldin", "calinski_harabasz")
     clusters = _centres(rows, labels)
     spreads = _spreads(rows, labels, clusters)
     found: dict[str, float] = {}

@@ -106,6 +106,18 @@ def quality_many(spark, sf_dir):
     return round_columns(score(rows, ["label"], silhouette=None).drop("silhouette"))
 
 
+_EACH_SQL = "SELECT [l_quantity, l_discount * 100, l_tax * 100] AS f, l_partkey AS label FROM lineitem"
+
+
+@query("quality_tables", f"""WITH {moments_sql(_EACH_SQL)}
+SELECT 'part' AS model, {rounded_sql('davies_bouldin', 4)} AS davies_bouldin, {rounded_sql('calinski_harabasz', 4)} AS calinski_harabasz FROM db, ch""")
+def quality_tables(spark, sf_dir):
+    """Indices of all of lineitem with a cluster for every part, whose centres are never collected."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.array("l_quantity", F.col("l_discount") * 100, F.col("l_tax") * 100).alias("features"), F.col("l_partkey").cast("int").alias("part"))
+    return round_columns(score(rows, ["part"], silhouette=None, centre_values=0).drop("silhouette"), 4)
+
+
 # -- groups far apart ------------------------------------------------------------------------------------
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]

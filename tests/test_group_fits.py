@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import reference_math as ref
+from shoal.operators import quality
 from shoal.operators.kmeans import kmeans_groups, kmeans_many
 from shoal.operators.pca import pca, pca_groups
 from shoal.operators.quality import score, silhouette_squared
@@ -100,3 +101,25 @@ def test_components_of_groups_with_few_rows(spark):
     df = table(spark, {"x": [[1.0, 2.0]], "y": [[0.0, 0], [3, 4]]})
     got = {(r["group"], r["component"]): (r["variance"], r["loading"]) for r in pca_groups(df, "dataset").collect()}
     assert got["x", 1][0] == 0 and got["y", 1][0] == pytest.approx(12.5) and np.allclose(got["y", 1][1], [0.6, 0.8])
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_indices_from_tables_of_centres(spark, monkeypatch, block):
+    """Centres in blocks, a hot cluster over several copies of its centre, clusters of one row, coinciding centres."""
+    monkeypatch.setattr(quality, "SALT_ROWS", 20)
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(150, 2)), np.zeros((4, 2)), [[1, 0], [-1, 0], [0, 1], [0, -1]]]) + 100
+    a = np.concatenate([np.where(np.arange(150) < 60, 0, rng.integers(1, 12, 150)), [20] * 4, [21] * 4])
+    b = np.arange(158) // 2
+    rows = [(i, [float(v) for v in p], int(a[i]), int(b[i])) for i, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, a int, b int").repartition(4)
+    got = {r["model"]: r for r in quality._score_tables(quality._packed(df, ["a", "b"], "features", None), ["a", "b"], block).collect()}
+    want = {r["model"]: r for r in score(df, ["a", "b"], silhouette=None).collect()}
+    assert got["a"]["calinski_harabasz"] == pytest.approx(ref.calinski_harabasz(x, a))
+    for m in "ab":
+        assert got[m]["davies_bouldin"] == pytest.approx(want[m]["davies_bouldin"]) and got[m]["calinski_harabasz"] == pytest.approx(want[m]["calinski_harabasz"])
+    same = spark.createDataFrame([(0, [1.0], 0), (1, [1.0], 1), (2, [1.0], 1)], "row_id long, features array<double>, c int")
+    flat = score(same, ["c"], silhouette=None, centre_values=0).first()
+    assert flat["davies_bouldin"] == 0 and flat["calinski_harabasz"] == 1
+    with pytest.raises(ValueError, match="clusters"):
+        score(same, ["row_id"], silhouette=None, centre_values=0)

@@ -32,7 +32,7 @@ def numbers(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed)) | np.uint64(1)
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark) -> None:

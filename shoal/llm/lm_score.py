@@ -4,7 +4,8 @@ Words have A-Z folded. Word and bigram counts cover the whole corpus and every w
 distinct bigrams are exploded and joined, by bigram, to the table of counts; the logarithms are summed
 per document as whole millionths, so that the order of rows does not matter.
 
-The counts of the ``HOT`` words of most documents are sent to all tasks; they only spare joins. All other
+The counts of the ``HOT`` words of most documents are sent to all tasks, and so are those of the up to ``HOT_PAIRS``
+most frequent bigrams of them; they only spare joins. All other
 words are keyed by their 64-bit hashes: a bigram that holds one is counted by the hash of both, and gets
 the counts of its words by joins on these. A word of a single text needs neither, since no other document
 can hold its bigrams, and its count is known where it stands; a bitmap of fixed size tells these apart.
@@ -26,9 +27,11 @@ from shoal.session import materialise
 
 BACKOFF = 0.4
 HOT = 1 << 18
+HOT_PAIRS = 1 << 20
 BLOCK_BYTES = 6 << 20
 SHARED_BITS = 26
 UNKNOWN = 0
+STEP_BITS = 10
 #: Keys of the join: below WORD two ids, from WORD on the hash of a word, from PAIR on that of a bigram; rows of documents are negative.
 WORD, PAIR = 1 << 61, 1 << 62
 
@@ -92,15 +95,37 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, hot: int = HOT) -> DataFrame:
+def _frequent(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, counts) of the most frequent of ``pairs`` (key, c): all down to some count, ``most`` at the most.
+
+    The count is found from a histogram with steps of a thousandth, a few ten thousand rows whatever the number of pairs.
+    """
+    shift = F.greatest(F.length(F.bin("c")) - STEP_BITS, F.lit(0))
+    step = F.call_function("shiftleft", F.call_function("shiftright", F.col("c"), shift), shift)
+    held, least = 0, None
+    for r in sorted(pairs.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["s"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = pairs.where(F.col("c") >= least).toArrow()
+    keys = found.column("key").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], found.column("c").to_numpy()[order]
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, hot: int = HOT,
+              hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """One row per document: (doc_id, n_words, n_backoff, log_score, mean_log_score).
 
     ``log_score`` is the sum of natural logarithms, ``n_backoff`` the number of words scored by the backoff.
     Null, empty or blank texts have no words, log_score 0 and a null mean. Rows with the same doc_id are
     one document whose texts never join into a bigram; rows with null doc_id count and are scored as one
     document. All words count as themselves. Only a caller who asks for a closed ``vocabulary`` gets the words
-    beyond that number folded into one class, <unk>. ``hot`` bounds the table of words that is sent to all tasks
-    (16 bytes each) and has no part in the result.
+    beyond that number folded into one class, <unk>. ``hot`` and ``hot_pairs`` bound the tables of words and of bigrams
+    that are sent to all tasks (16 bytes each) and have no part in the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,6 +175,28 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 need = several[word]
                 yield from _batches(["name", "key", "is_first"], _word_keys(hashes[word[need]]), keys[need], np.full(int(need.sum()), is_first))
 
+    def in_bitmap(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(holds(shipped.value[2], batch.column("h").to_numpy().view(np.uint64))))
+
+    ids = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(len(counts)), "count": np.maximum(counts, 1)})))  # the words sent again
+    given = rows.mapInArrow(count_task, "key long, n long, c_v long, c_w long")
+    if not folds:
+        sent_words = F.broadcast(spark.createDataFrame(pa.table({"h": known.view(np.int64)}), "h long"))
+        rare = (words.select("h", "n").mapInArrow(in_bitmap, "h long, n long").join(sent_words, "h", "left_anti")
+                .select(F.col("h").bitwiseAND(WORD - 1).bitwiseOR(WORD).alias("name"), F.col("n").alias("count")))
+        none = F.lit(0).cast("long").alias("n")
+        asked = rows.mapInArrow(ask_task, "name long, key long, is_first boolean").join(rare, "name").select(
+            "key", none, F.when(F.col("is_first"), F.col("count")).alias("c_v"), F.when(~F.col("is_first"), F.col("count")).alias("c_w"))
+        given = given.unionByName(asked).unionByName(rare.select(F.col("name").alias("key"), none, F.lit(None).cast("long").alias("c_v"), F.col("count").alias("c_w")))
+    table = materialise(given.groupBy("key").agg(F.sum("n").alias("c"), F.max("c_v").alias("c_v"), F.max("c_w").alias("c_w")), "bigrams")
+    often = _frequent(table.where(F.col("key") < WORD).select("key", "c"), hot_pairs)
+    sent_pairs = spark.sparkContext.broadcast(often)  # at most ``hot_pairs`` keys and counts
+    table = table.where((F.col("key") >= WORD) | (F.col("c") < (int(often[1].min()) if len(often[1]) else 1 << 62)))
+    for word, part in (("c_v", F.shiftright("key", 32)), ("c_w", F.col("key").bitwiseAND(0xFFFFFFFF))):
+        table = (table.withColumn("id", F.when(F.col("key") < WORD, part)).join(ids, "id", "left")
+                 .withColumn(word, F.coalesce(word, "count")).select("key", "c", "c_v", "c_w"))
+
     def logs(s):
         return np.floor(np.log(s) * 1e6 + 0.5).astype(np.int64)
 
@@ -182,31 +229,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
             keys, row = keys[order], row[order]
             heads = _heads(keys, row)
             n = np.diff(np.append(heads, len(keys)))
-            keys = np.concatenate((keys[heads], _word_keys(hashes[begin[~told]])))
-            row = np.concatenate((row[heads], firsts[~told]))
+            keys, row = keys[heads], row[heads]
+            found, held = sent_pairs.value
+            place = np.minimum(np.searchsorted(found, keys), max(0, len(found) - 1))
+            told_pairs = found[place] == keys if len(found) else np.zeros(len(keys), bool)
+            if told_pairs.any():  # frequent bigrams need no join
+                k, m, left = keys[told_pairs], n[told_pairs], held[place[told_pairs]] - n[told_pairs]
+                size_v, size_w = (np.maximum(shipped.value[1][w], 1) for w in (k >> 32, k & 0xFFFFFFFF))
+                np.add.at(micro, row[told_pairs], m * np.where(left > 0, logs(np.maximum(left, 1) / size_v), logs(BACKOFF * size_w / max(1, total))))
+                np.add.at(backs, row[told_pairs], np.where(left > 0, 0, m))
+                keys, row, n = keys[~told_pairs], row[~told_pairs], n[~told_pairs]
+            keys = np.concatenate((keys, _word_keys(hashes[begin[~told]])))
+            row = np.concatenate((row, firsts[~told]))
             n = np.concatenate((n, np.full(len(keys) - len(n), -1)))
             none = pa.nulls(len(keys), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys), doc.take(pa.array(row)), pa.array(n), none, none], names)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), -1, np.int64)), doc, pa.array(sizes), pa.array(micro), pa.array(backs)], names)
 
-    def in_bitmap(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(holds(shipped.value[2], batch.column("h").to_numpy().view(np.uint64))))
-
-    ids = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(len(counts)), "count": np.maximum(counts, 1)})))  # the words sent again
-    given = rows.mapInArrow(count_task, "key long, n long, c_v long, c_w long")
-    if not folds:
-        sent_words = F.broadcast(spark.createDataFrame(pa.table({"h": known.view(np.int64)}), "h long"))
-        rare = (words.select("h", "n").mapInArrow(in_bitmap, "h long, n long").join(sent_words, "h", "left_anti")
-                .select(F.col("h").bitwiseAND(WORD - 1).bitwiseOR(WORD).alias("name"), F.col("n").alias("count")))
-        none = F.lit(0).cast("long").alias("n")
-        asked = rows.mapInArrow(ask_task, "name long, key long, is_first boolean").join(rare, "name").select(
-            "key", none, F.when(F.col("is_first"), F.col("count")).alias("c_v"), F.when(~F.col("is_first"), F.col("count")).alias("c_w"))
-        given = given.unionByName(asked).unionByName(rare.select(F.col("name").alias("key"), none, F.lit(None).cast("long").alias("c_v"), F.col("count").alias("c_w")))
-    table = given.groupBy("key").agg(F.sum("n").alias("c"), F.max("c_v").alias("c_v"), F.max("c_w").alias("c_w"))
-    for word, part in (("c_v", F.shiftright("key", 32)), ("c_w", F.col("key").bitwiseAND(0xFFFFFFFF))):
-        table = (table.withColumn("id", F.when(F.col("key") < WORD, part)).join(ids, "id", "left")
-                 .withColumn(word, F.coalesce(word, "count")).select("key", "c", "c_v", "c_w"))
     exploded = rows.mapInArrow(explode_task, "key long, doc long, n long, micro long, back long")
     spread = F.when(F.col("key") < 0, -1 - F.abs(F.xxhash64("doc") / 2).cast("long")).otherwise(F.col("key"))  # keys without partner, evenly
     joined = exploded.withColumn("key", spread).join(table, "key", "left")

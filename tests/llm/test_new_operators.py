@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import brute_components
 
 from shoal.llm import merkle, spelling
+from shoal.llm.lm_score import lm_scores
 from shoal.llm.merkle import tamper_check
 from shoal.llm.near_dedup import near_duplicates
 from shoal.llm.pieces import BYTE, SPACE, Model, PieceDecoder, PieceEncoder, _fields, decode_pieces, encode_pieces, load_model, merge
@@ -263,3 +264,14 @@ def test_rows_without_id_link_others(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).drop("text_hash")
     assert rows_of(got, *got.columns) == brute_components(rows)
     assert got.where("doc_id IS NULL AND kept").count() == 1 and got.where("doc_id = 7").first()["component_id"] == 1
+
+
+# -- frequent bigrams ------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("pairs", [0, 1, 3, 1 << 20])
+def test_scores_do_not_depend_on_the_bigrams_sent(spark, pairs):
+    texts = ["a b c a b", "a b a b a b rare", "b c b c odd a b", "c a b", "", None, "a b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    names = ("doc_id", "n_words", "n_backoff", "log_score")
+    assert rows_of(lm_scores(docs, hot_pairs=pairs), *names) == rows_of(lm_scores(docs, hot=0), *names)
+    assert rows_of(lm_scores(docs, hot_pairs=pairs, vocabulary=2), *names) == rows_of(lm_scores(docs, hot_pairs=0, vocabulary=2), *names)

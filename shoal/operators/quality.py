@@ -535,3 +535,23 @@ def score(df: DataFrame, labels: Sequence[str], features: str = "features", weig
               _calinski_harabasz(clusters[name], spreads[name][1])) for name in labels]
     return df.sparkSession.createDataFrame(
         table, "model string, silhouette double, davies_bouldin double, calinski_harabasz double")
+
+
+def adjusted_rand(df: DataFrame, left: str, right: str) -> DataFrame:
+    """``(n, adjusted_rand)``: how far two labelings of the same rows agree, 1 if they are the same partition, about 0 by chance.
+
+    From the table of how many rows have each pair of labels; a missing label counts as one of its own. Two labelings
+    without any pair to tell apart (a single cluster, or single rows, in both) agree.
+    """
+    require_columns(df, [left, right])
+
+    def pairs(n):
+        return n.cast("double") * (n - 1) / 2
+    cells = df.groupBy(col(left).alias("l"), col(right).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    both = cells.agg(F.sum("n").alias("n"), F.sum(pairs(F.col("n"))).alias("both"))
+    sides = [cells.groupBy(s).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias(f"in_{s}")) for s in "lr"]
+    table = both.crossJoin(F.broadcast(sides[0])).crossJoin(F.broadcast(sides[1]))  # one row each
+    chance = F.try_divide(F.col("in_l") * F.col("in_r"), pairs(F.col("n")))
+    most = (F.col("in_l") + F.col("in_r")) / 2
+    return table.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, F.coalesce(
+        F.try_divide(F.col("both") - chance, most - chance), F.lit(1.0))).alias("adjusted_rand"))

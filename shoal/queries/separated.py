@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shoal.operators.agglomerative import agglomerative
 from shoal.operators.cleaning import impute, label_encode
 from shoal.operators.kmeans import kmeans, kmeans_many
-from shoal.operators.pca import pca_groups
-from shoal.operators.quality import score, silhouette_squared
+from shoal.operators.pca import pca_groups, projection
+from shoal.operators.quality import adjusted_rand, score, silhouette_squared
 from shoal.operators.statistics import correlation_matrix
 from shoal.plans.analyze_k import analyze_k
 from shoal.plans.group_fits import fit_groups
@@ -17,7 +17,7 @@ from shoal.plans.train import run_clustering
 from shoal.queries.registry import ORACLES, query, round_columns, rounded_sql, table
 from shoal.queries.clustering import _SCALED_LINES, moments_sql, scaled_lines, silhouette_sql
 from shoal.queries.runs import _hac_sql, nations
-from shoal.queries.tables import _correlation_sql, gappy_lineitem
+from shoal.queries.tables import _correlation_sql, gappy_lineitem, preprocess_apply
 from shoal.session import scratch_path
 from shoal.sources.csv import load_csv_tables
 
@@ -227,6 +227,34 @@ def batch_components(spark, sf_dir):
     return round_columns(pca_groups(rows, "dataset").select(F.col("group").alias("dataset"), "component", "variance"))
 
 
+@query("adjusted_rand", """WITH c AS (SELECT label AS l, vec_id % 3 + label // 2 AS r, count(*) AS n FROM embeddings GROUP BY ALL),
+s AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS b FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM c GROUP BY l)),
+y AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM c GROUP BY r))
+SELECT CAST(n AS BIGINT) AS n, round((b - x.a * y.a / (n * (n - 1) / 2)) / ((x.a + y.a) / 2 - x.a * y.a / (n * (n - 1) / 2)), 6) AS adjusted_rand FROM s, x, y""")
+def adjusted_rand_query(spark, sf_dir):
+    """Agreement of two labelings of all embeddings."""
+    rows = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 + F.floor(F.col("label") / 2)).alias("other"))
+    return round_columns(adjusted_rand(rows, "label", "other"))
+
+
+@query("projection_sample", """SELECT ascii(l_returnflag) AS kmeans, least(count(*), 500) AS n, least(count(*), 500) AS n_keys, least(count(*), 500) AS n_of_table
+FROM (SELECT DISTINCT l_returnflag, l_orderkey, l_linenumber FROM lineitem) GROUP BY l_returnflag""")
+def projection_sample(spark, sf_dir):
+    """500 projected rows of every return flag, each once and with the flag that the table has for it."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.max("l_tax").alias("t"))
+    rows = lines.select((F.col("l_orderkey") * 1024 + F.col("l_linenumber") * 128 + F.ascii("l_returnflag")).alias("row_id"), F.array("q", F.col("t") * 100).alias("features"),
+                        F.ascii("l_returnflag").alias("kmeans"))
+    found = projection(rows, ["kmeans"], 2, sample=500)
+    known = found.join(rows.select("row_id", F.col("kmeans").alias("flag")), "row_id", "left")
+    return known.groupBy("kmeans").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_keys"), F.count_if(F.col("flag") == F.col("kmeans")).alias("n_of_table"))
+
+
+@query("preprocess_reloaded", ORACLES["preprocess_apply"])
+def preprocess_reloaded(spark, sf_dir):
+    """The fitted preprocessing written as tables and read back before it is applied."""
+    return preprocess_apply(spark, sf_dir, reload=True)
+
+
 @query("hac_copies", """WITH r AS (SELECT c_custkey AS key, c_mktsegment AS s, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS i FROM customer),
 alone AS (SELECT key FROM r WHERE i > 1 ORDER BY key LIMIT 4),
 own AS (SELECT r.*, CASE WHEN i = 1 OR key IN (SELECT key FROM alone) THEN key ELSE min(key) OVER (PARTITION BY s) END AS c FROM r)

@@ -9,7 +9,7 @@ from shoal.operators.cleaning import (drop_missing, impute, label_encode, scale,
 from shoal.operators.columns import assemble, drop_columns, preview, shape_summary
 from shoal.functions.columns import select_numeric
 from shoal.operators.statistics import cluster_profile, correlation_matrix
-from shoal.plans.preprocess import Preprocessed, preprocess
+from shoal.plans.preprocess import Preprocessed, load_preprocessed, preprocess
 from shoal.queries.registry import query, round_columns, rounded, rounded_sql, table
 from shoal.session import scratch_path
 from shoal.sources.csv import infer_types, load_csv, load_csv_tables
@@ -319,12 +319,16 @@ kept AS (SELECT fit.* FROM fit, m WHERE abs((bal - mb) / sb) < 3 AND abs((nation
 p AS (SELECT avg(bal) AS ab, stddev_pop(bal) AS bb, avg(nation) AS an, stddev_pop(nation) AS bn FROM kept)
 SELECT s_suppkey AS id, {rounded_sql('(s_acctbal - ab) / bb')} AS bal, {rounded_sql('(s_nationkey - an) / bn')} AS nation
 FROM supplier, m, p WHERE abs((s_acctbal - mb) / sb) < 3 AND abs((s_nationkey - mn) / sn) < 3""")
-def preprocess_apply(spark, sf_dir):
+def preprocess_apply(spark, sf_dir, reload=False):
     def shaped(name, prefix, key):
         return table(spark, sf_dir, name).select(
             F.col(key).alias("id"), F.col(f"{prefix}_acctbal").alias("bal"),
             F.col(f"{prefix}_nationkey").alias("nation"))
     fitted = preprocess(shaped("customer", "c", "c_custkey"), key="id")
+    if reload:
+        folder = scratch_path(spark, "fitted")
+        fitted.write(folder)
+        fitted = load_preprocessed(spark, folder)
     return round_columns(fitted.transform(shaped("supplier", "s", "s_suppkey")).features)
 
 

@@ -169,15 +169,15 @@ def full_run_summary(spark, sf_dir):
     return round_columns(report.result.metrics.withColumn("k", k))
 
 
-_SUPPLIER_RAW = "SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS s_acctbal, s_suppkey % 2 = 0 AS even FROM supplier"
+_CUSTOMER_RAW = "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, c_custkey % 2 = 0 AS even FROM customer"
 
 
-@query("report_correlation", _correlation_sql(_SUPPLIER_RAW, ["s_suppkey", "s_nationkey", "s_acctbal"]))
+@query("report_correlation", _correlation_sql(_CUSTOMER_RAW, ["c_custkey", "c_nationkey", "c_acctbal"]))
 def report_correlation(spark, sf_dir):
     """The correlation table of a whole run: that of the raw columns, gaps and all, not of the encoded and scaled ones."""
-    gone = F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("s_acctbal")
-    raw = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", gone, (F.col("s_suppkey") % 2 == 0).alias("even"))
-    return round_columns(analyze(raw, Settings(micro=50), "supplier").tables["correlation"])
+    gone = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal")
+    raw = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", gone, (F.col("c_custkey") % 2 == 0).alias("even"))
+    return round_columns(analyze(raw, Settings(micro=50), "customer").tables["correlation"])
 
 
 # -- many datasets ----------------------------------------------------------------------------------

@@ -49,12 +49,13 @@ for _linkage in ("ward", "complete", "average"):
 @query("hac_pruned", """WITH p AS (SELECT DISTINCT avg(l_extendedprice) / 1000 AS x, avg(l_quantity) AS y FROM lineitem GROUP BY l_partkey)
 SELECT count(*) - 1 AS merges, round(count(*) * (var_pop(x) + var_pop(y)), 3) AS inertia, TRUE AS most_skipped FROM p""")
 def hac_pruned(spark, sf_dir):
-    """The ward tree over all ordered parts in blocks of 32, round by round down to 1,000 clusters. Half of the squared heights
+    """The ward tree over all ordered parts in about 64 blocks, round by round down to half of them. Half of the squared heights
     adds up to the inertia of the points, and less than half of the pairs were compared."""
     means = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("row_id")).agg(
         F.avg("l_extendedprice").alias("x"), F.avg("l_quantity").alias("y"))
     points = means.groupBy((F.col("x") / 1000).alias("x"), "y").agg(F.min("row_id").alias("row_id"))
-    tree = agglomerative(points.select("row_id", F.array("x", "y").alias("features")), "ward", last_clusters=1000, block_rows=32)
+    n = points.count()
+    tree = agglomerative(points.select("row_id", F.array("x", "y").alias("features")), "ward", last_clusters=n // 2, block_rows=-(-n // 64))
     skipped = tree.search.compared < 0.5 * tree.search.possible
     return tree.merges.agg(F.count("*").alias("merges"), F.round(F.sum(F.col("height") * F.col("height")) / 2, 3).alias("inertia")).withColumn(
         "most_skipped", F.lit(skipped))

@@ -26,7 +26,7 @@ from shoal.llm.words import WordHasher, gathered, mix, row_numbers, slices, smal
 from shoal.session import materialise
 
 BACKOFF = 0.4
-HOT = 1 << 20
+HOT = 1 << 18
 HOT_PAIRS = 1 << 20
 BLOCK_BYTES = 6 << 20
 SHARED_BITS = 26

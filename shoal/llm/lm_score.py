@@ -10,6 +10,9 @@ words are keyed by their 64-bit hashes: a bigram that holds one is counted by th
 the counts of its words by joins on these. A word of a single text needs neither, since no other document
 can hold its bigrams, and its count is known where it stands; a bitmap of fixed size tells these apart.
 
+Where the second word of a bigram was sent, the document can add up its backoff by itself, and the join only corrects this
+where another document holds the bigram. So bigrams of this kind that occur once are not written, shuffled or joined.
+
 S(w | v) = (C(vw) - own) / C(v), where own is the document's own count of the bigram, if that is above 0;
 else 0.4 * C(w) / N. The first word has S = C(w) / N. A document thus is scored by what others hold.
 """
@@ -32,7 +35,8 @@ BLOCK_BYTES = 6 << 20
 SHARED_BITS = 26
 UNKNOWN = 0
 STEP_BITS = 10
-#: Keys of the join: below WORD two ids, from WORD on the hash of a word, from PAIR on that of a bigram; rows of documents are negative.
+#: Keys of the join: below WORD two ids, from WORD on the hash of a word, from PAIR on that of a bigram, odd if its second word
+#: was sent; rows of documents are negative.
 WORD, PAIR = 1 << 61, 1 << 62
 
 
@@ -62,13 +66,18 @@ class Numbering:
     """Ids of words: 1, 2, ... in the order of their hashes among the words sent, 0 for the rest."""
 
     def __init__(self, known: np.ndarray):
-        self.known = known
+        # hashes are spread evenly: their first bits tell the place in the order, but for the few words that share them
+        bits = min(20, len(known).bit_length() + 2)
+        self.known, self.shift = np.append(known, np.uint64(2 ** 64 - 1)), np.uint64(64 - bits)
+        self.first = np.searchsorted(known >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.steps = int(np.diff(self.first, append=len(known)).max())
+        self.n = len(known)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.zeros(len(hashes), np.int64)
-        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[place] == hashes, place + 1, UNKNOWN)
+        place = self.first[hashes >> self.shift]
+        for _ in range(self.steps):
+            place += self.known[place] < hashes
+        return np.where((self.known[place] == hashes) & (place < self.n), place + 1, UNKNOWN).astype(np.int64)
 
 
 def _neighbours(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +94,8 @@ def _word_keys(hashes: np.ndarray) -> np.ndarray:
 def _keys(hashes: np.ndarray, ids: np.ndarray, sent: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Keys of the bigrams that begin at ``at``: their ids where both words were sent, else a hash of both."""
     pair = mix(mix(hashes[at]) * np.uint64(0x9E3779B97F4A7C55) + hashes[at + 1])
-    return np.where(sent[at] & sent[at + 1], (ids[at] << 32) | ids[at + 1], ((pair >> np.uint64(2)) | np.uint64(PAIR)).view(np.int64))
+    pair = ((pair >> np.uint64(3)) << np.uint64(1)) | sent[at + 1] | np.uint64(PAIR)
+    return np.where(sent[at] & sent[at + 1], (ids[at] << 32) | ids[at + 1], pair.view(np.int64))
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -189,7 +199,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         asked = rows.mapInArrow(ask_task, "name long, key long, is_first boolean").join(rare, "name").select(
             "key", none, F.when(F.col("is_first"), F.col("count")).alias("c_v"), F.when(~F.col("is_first"), F.col("count")).alias("c_w"))
         given = given.unionByName(asked).unionByName(rare.select(F.col("name").alias("key"), none, F.lit(None).cast("long").alias("c_v"), F.col("count").alias("c_w")))
-    table = materialise(given.groupBy("key").agg(F.sum("n").alias("c"), F.max("c_v").alias("c_v"), F.max("c_w").alias("c_w")), "bigrams")
+    own_backoff = (F.col("key") < WORD) | ((F.col("key") >= PAIR) & (F.col("key").bitwiseAND(1) == 1))  # documents know the count of the second word
+    table = given.groupBy("key").agg(F.sum("n").alias("c"), F.max("c_v").alias("c_v"), F.max("c_w").alias("c_w"))
+    table = materialise(table.where(~own_backoff | (F.col("c") > 1)), "bigrams")
     often = _frequent(table.where(F.col("key") < WORD).select("key", "c"), hot_pairs)
     sent_pairs = spark.sparkContext.broadcast(often)  # at most ``hot_pairs`` keys and counts
     table = table.where((F.col("key") >= WORD) | (F.col("c") < (int(often[1].min()) if len(often[1]) else 1 << 62)))
@@ -224,12 +236,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
             told = size[begin] > 0
             micro[firsts[told]] += logs(size[begin[told]] / max(1, total))
             at, row, lone = at[~here], row[~here], lone[~here]
+            second = np.where(sent, size, 0)[at + 1]
             keys = np.where(lone, _word_keys(hashes)[at + 1], _keys(hashes, ids, sent, at)) if len(at) else np.zeros(0, np.int64)
-            order = np.lexsort((keys, row))
+            order = np.argsort(keys, kind="stable")  # texts stay in order inside a bigram
             keys, row = keys[order], row[order]
             heads = _heads(keys, row)
             n = np.diff(np.append(heads, len(keys)))
-            keys, row = keys[heads], row[heads]
+            keys, row, second = keys[heads], row[heads], second[order[heads]]
             found, held = sent_pairs.value
             place = np.minimum(np.searchsorted(found, keys), max(0, len(found) - 1))
             told_pairs = found[place] == keys if len(found) else np.zeros(len(keys), bool)
@@ -238,7 +251,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 size_v, size_w = (np.maximum(shipped.value[1][w], 1) for w in (k >> 32, k & 0xFFFFFFFF))
                 np.add.at(micro, row[told_pairs], m * np.where(left > 0, logs(np.maximum(left, 1) / size_v), logs(BACKOFF * size_w / max(1, total))))
                 np.add.at(backs, row[told_pairs], np.where(left > 0, 0, m))
-                keys, row, n = keys[~told_pairs], row[~told_pairs], n[~told_pairs]
+                keys, row, n, second = keys[~told_pairs], row[~told_pairs], n[~told_pairs], second[~told_pairs]
+            own = second > 0  # counted as if no other document held the bigram; the join corrects it
+            np.add.at(micro, row[own], n[own] * logs(BACKOFF * second[own] / max(1, total)))
+            np.add.at(backs, row[own], n[own])
             keys = np.concatenate((keys, _word_keys(hashes[begin[~told]])))
             row = np.concatenate((row, firsts[~told]))
             n = np.concatenate((n, np.full(len(keys) - len(n), -1)))
@@ -257,8 +273,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     seen, unseen = F.col("n") * micros(left / F.col("c_v")), F.col("n") * micros(F.lit(BACKOFF) * F.col("c_w") / F.lit(float(max(1, total))))
     found = joined.groupBy("doc").agg(
         F.sum(F.when(text, F.col("n")).otherwise(0)).alias("n_words"),
-        F.sum(F.when(text, F.col("back")).when(first | (left > 0), 0).otherwise(F.col("n"))).alias("n_backoff"),
+        F.sum(F.when(text, F.col("back")).when(first, 0).when(own_backoff, F.when(left > 0, -F.col("n")).otherwise(0))
+              .when(left > 0, 0).otherwise(F.col("n"))).alias("n_backoff"),
         F.sum(F.when(text, F.col("micro")).when(first, micros(F.col("c_w") / F.lit(float(max(1, total)))))
-              .when(left > 0, seen).otherwise(unseen)).alias("micro"))
+              .when(own_backoff, F.when(left > 0, seen - unseen).otherwise(0)).when(left > 0, seen).otherwise(unseen)).alias("micro"))
     return found.select(F.col("doc").alias("doc_id"), "n_words", "n_backoff", (F.col("micro") / 1e6).alias("log_score"),
                         F.when(F.col("n_words") > 0, F.col("micro") / 1e6 / F.col("n_words")).alias("mean_log_score"))
